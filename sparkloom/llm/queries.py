@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import digests, packing, winnowing
+from sparkloom.llm import digests, packing, residue, winnowing
 from sparkloom.runtime import table
 
 _GROUP = ["product_id", "day"]
@@ -80,7 +80,12 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
     return winnowing.leaked_items(_passages(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p7_pack, p8_found, p8_items)}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents whose author's own text holds template residue, filler, an error page or a script notice."""
+    return residue.residue_records(table(spark, root, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p7_pack, p8_found, p8_items, p9_found)}
 
 _TAGS = r"</?[a-zA-Z][^<>]*>|\[/?(?:quote|b|i|u|s|url|img|code|color|size|font|list|spoiler)(?:=[^\]\n]*)?\]"
 
