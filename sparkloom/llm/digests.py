@@ -11,9 +11,9 @@ a centroid lies below the point if its greatest value does, none if its least va
 counts the values around an estimate gives its exact rank and so certifies the error.
 
 Scale: partial digests are made where the rows are, in bounded Arrow buffers with numpy, so a group of any size
-leaves a partition as about ``delta / 2`` centroids a buffer. Parts of large groups are merged by salt first,
-then by group; no group is gathered raw. The counting pass is an equi-join on the group with counts combined
-before the shuffle.
+leaves a partition as about ``delta / 2`` centroids. What meets in one task to be merged is bounded by that number
+times the partitions, not by the rows; no group is gathered raw. The counting pass is an equi-join on the group
+with counts combined before the shuffle.
 
 Defined results: null, NaN and infinite values and rows with a null group are left out; of rows with the same
 id one counts (the greatest by group and value); rows with a null id each count; ties share clusters and are
@@ -35,10 +35,8 @@ from pyspark.sql import types as T
 DELTA = 400
 #: Rows that a partition buffers before it digests them.
 BUFFER_ROWS = 250_000
-#: Values of a group in one buffer from which its parts are merged by salt first.
-HEAVY = 1_000
-#: Parts that a large group is split into for the first merge.
-FAN = 64
+#: Values of a group in one buffer from which its digest stays in the buffer.
+HEAVY = 2_000
 
 CENTROID = ("mean", "weight", "least", "greatest")
 
@@ -48,65 +46,65 @@ def cluster_of(q: np.ndarray, delta: int) -> np.ndarray:
     return np.floor(delta / (2 * math.pi) * np.arcsin(np.clip(2 * q - 1, -1, 1))).astype(np.int64)
 
 
-def digest_frame(rows: pd.DataFrame, keys: list[str], value: str, delta: int) -> pd.DataFrame:
-    """Digests of all groups of a frame at once: keys, centroid, number of values of the group in the frame."""
+def digest_frame(rows: pd.DataFrame, keys: list[str], delta: int) -> pd.DataFrame:
+    """Digests of all groups of a frame of centroids at once; raw values are centroids of weight 1.
+
+    The column n has the number of values of the group in the frame.
+    """
     group = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-    values = rows[value].to_numpy(dtype=np.float64)
-    order = np.lexsort((values, group))
-    group, values = group[order], values[order]
+    order = np.lexsort((rows["mean"].to_numpy(), group))
+    group, mean, weight, least, greatest = group[order], *(rows[c].to_numpy()[order] for c in CENTROID)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[first, len(group)])
-    n, rank = np.repeat(size, size), np.arange(len(group)) - np.repeat(first, size)
-    cluster = cluster_of((rank + 0.5) / n, delta)
+    upto = np.cumsum(weight)
+    n = np.repeat(np.add.reduceat(weight, first), size)
+    middle = upto - np.repeat(upto[first] - weight[first], size) - weight / 2
+    cluster = cluster_of(middle / n, delta)
     cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (cluster[1:] != cluster[:-1])])
-    weight = np.diff(np.r_[cut, len(group)])
+    total = np.add.reduceat(weight, cut)
     out = rows[keys].iloc[order[cut]].reset_index(drop=True)
     return out.assign(
-        mean=np.add.reduceat(values, cut) / weight,
-        weight=weight.astype(np.int64),
-        least=values[cut],
-        greatest=values[np.r_[cut[1:], len(group)] - 1],
+        mean=np.add.reduceat(mean * weight, cut) / total,
+        weight=total,
+        least=np.minimum.reduceat(least, cut),
+        greatest=np.maximum.reduceat(greatest, cut),
         n=n[cut],
     )
 
 
 def partial_digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DELTA, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
-    """Digests of the parts of each group, one per partition and buffer: keys, salt, centroid."""
+    """Digests of the parts of each group: keys, centroid.
+
+    A buffer that is full is digested; its large groups stay in it as centroids and are digested again with what
+    follows, so a partition gives off one digest of each; small groups leave with every buffer.
+    """
     keys = list(keys)
-    kept = values.select(*keys, F.col(value).cast("double").alias("_value")).where(
-        F.col("_value").isNotNull() & ~F.isnan("_value") & (F.abs("_value") != float("inf"))
+    kept = values.select(*keys, F.col(value).cast("double").alias("mean")).where(
+        F.col("mean").isNotNull() & ~F.isnan("mean") & (F.abs("mean") != float("inf"))
     )
     for k in keys:
         kept = kept.where(F.col(k).isNotNull())
-    fields = [kept.schema[k] for k in keys]
     schema = T.StructType(
-        [*fields, T.StructField("salt", T.IntegerType()), T.StructField("mean", T.DoubleType()), T.StructField("weight", T.LongType()),
+        [*(kept.schema[k] for k in keys), T.StructField("mean", T.DoubleType()), T.StructField("weight", T.LongType()),
          T.StructField("least", T.DoubleType()), T.StructField("greatest", T.DoubleType())]
     )
     names = schema.names
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         held: list[pd.DataFrame] = []
-        rows = flushed = 0
-
-        def flush() -> pd.DataFrame:
-            out = digest_frame(pd.concat(held, ignore_index=True), keys, "_value", delta)
-            salt = 1 + (part * 31 + flushed) % FAN
-            return out.assign(salt=np.where(out["n"] >= HEAVY, salt, 0).astype(np.int32))[names]
-
+        rows = 0
         for batch in batches:
-            if len(batch):
-                held.append(batch)
-                rows += len(batch)
+            if not len(batch):
+                continue
+            held.append(batch.assign(weight=np.int64(1), least=batch["mean"], greatest=batch["mean"]))
+            rows += len(batch)
             if rows >= buffer_rows:
-                yield flush()
-                held, rows = [], 0
-                flushed += 1
+                out = digest_frame(pd.concat(held, ignore_index=True), keys, delta)
+                large = (out["n"] >= HEAVY).to_numpy()
+                yield out.loc[~large, names]
+                held, rows = [out.loc[large, names]], int(large.sum())
         if held:
-            yield flush()
+            yield digest_frame(pd.concat(held, ignore_index=True), keys, delta)[names]
 
     return kept.mapInPandas(digest, schema)
 
@@ -135,7 +133,7 @@ def merge_digests(digests: DataFrame, keys: Sequence[str], delta: int = DELTA) -
 
 def group_digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DELTA) -> DataFrame:
     """One digest per group of a column."""
-    return merge_digests(merge_digests(partial_digests(values, keys, value, delta), [*keys, "salt"], delta), keys, delta)
+    return merge_digests(partial_digests(values, keys, value, delta), keys, delta)
 
 
 def nearest_rank(n: Column, percent: int) -> Column:
@@ -191,7 +189,7 @@ def counted_ranks(values: DataFrame, keys: Sequence[str], value: str, points: Da
     x, v = F.col(point), F.col("_value")
     return (
         values.select(*keys, F.col(value).alias("_value"))
-        .join(points.select(*keys, *by, point), list(keys))
+        .join(points.select(*dict.fromkeys([*keys, *by, point])), list(keys))
         .groupBy(*by, point)
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(v <= x).alias("le"), F.count_if(v < x).alias("lt"))
     )

@@ -8,43 +8,47 @@ from pyspark.sql import functions as F
 from sparkloom.llm import digests, packing, residue, winnowing
 from sparkloom.runtime import table
 
-_GROUP = ["product_id", "day"]
+_GROUP = ["product_id", "period"]
 
 
 def _prices(spark: SparkSession, root: str) -> DataFrame:
-    """product_id, day, unit_price of each detail once."""
-    details = table(spark, root, "order_detail").withColumn("day", F.to_date("loaded_at"))
-    return digests.once_per_id(details, "id", ["product_id", "day", "unit_price"]).where(
-        F.col("product_id").isNotNull() & F.col("day").isNotNull() & F.col("unit_price").isNotNull() & ~F.isnan("unit_price")
+    """product_id, period (the day), unit_price of each detail once."""
+    details = table(spark, root, "order_detail").withColumn("period", F.date_format("loaded_at", "yyyy-MM-dd"))
+    return digests.once_per_id(details, "id", [*_GROUP, "unit_price"]).where(
+        F.col("product_id").isNotNull() & F.col("period").isNotNull() & F.col("unit_price").isNotNull() & ~F.isnan("unit_price")
     )
 
 
-def _by_period(daily: DataFrame) -> DataFrame:
-    """Digests per product and period: the days' own, and the months' merged from them."""
-    months = digests.merge_digests(daily.withColumn("period", F.date_format("day", "yyyy-MM")), ["product_id", "period"])
-    days = daily.select("product_id", F.date_format("day", "yyyy-MM-dd").alias("period"), *digests.CENTROID)
-    return days.unionByName(months)
+def _months(days: DataFrame) -> DataFrame:
+    """``days`` with the month as period."""
+    return days.withColumn("period", F.substring("period", 1, 7))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Published first quartiles that lie outside the 20th to 30th percentile of their product and period.
 
     The digests' certain rank bounds dismiss profiles that are surely right; the ranks of all others are counted.
+    Days are digested once and merged into months; either kind of profile meets its kind of digest.
     """
     prices = _prices(spark, root)
     profiles = (
         table(spark, root, "row_description")
         .where(F.col("field") == "unitPrice")
-        .select("profile_id", "product_id", "period", F.col("percentile25").try_cast("double").alias("point"))
+        .select("profile_id", *_GROUP, F.col("percentile25").try_cast("double").alias("point"))
         .where(F.col("point").isNotNull() & F.col("product_id").isNotNull() & F.col("period").isNotNull())
     )
-    digest = _by_period(digests.group_digests(prices, _GROUP, "unit_price"))
-    bounds = digests.rank_bounds(digest, ["product_id", "period"], profiles, "point")
+    daily = digests.group_digests(prices, _GROUP, "unit_price")
+    monthly = digests.merge_digests(_months(daily), _GROUP)
+    monthly_profile = F.length("period") == 7
+    bounds = digests.rank_bounds(daily, _GROUP, profiles.where(~monthly_profile), "point").unionByName(
+        digests.rank_bounds(monthly, _GROUP, profiles.where(monthly_profile), "point")
+    )
     low, high = digests.nearest_rank(F.col("n"), 20), digests.nearest_rank(F.col("n"), 30)
-    doubtful = bounds.where(~((F.col("le_least") >= low) & (F.col("lt_most") < high))).select("profile_id", "product_id", "period", "point")
-    first = F.when(F.length("period") == 7, F.concat("period", F.lit("-01"))).otherwise(F.col("period")).try_cast("date")
-    last = F.when(F.length("period") == 7, F.last_day(first)).otherwise(first)
+    doubtful = bounds.where(~((F.col("le_least") >= low) & (F.col("lt_most") < high))).select("profile_id", *_GROUP, "point")
+    first = F.when(monthly_profile, F.concat("period", F.lit("-01"))).otherwise(F.col("period")).try_cast("date")
+    last = F.when(monthly_profile, F.last_day(first)).otherwise(first)
     by_day = doubtful.select("profile_id", "product_id", "point", F.explode(F.sequence(first, last)).alias("day"))
+    by_day = by_day.select("profile_id", "product_id", "point", F.date_format("day", "yyyy-MM-dd").alias("period"))
     counts = digests.counted_ranks(prices, _GROUP, "unit_price", by_day, "point", ["profile_id"])
     return counts.where((F.col("le") < low) | (F.col("lt") >= high)).select("profile_id").distinct()
 
@@ -52,13 +56,10 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 def p5_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """Quartiles and the 90th percentile of unit_price per product and month, with bounded and counted rank error."""
     prices = _prices(spark, root)
-    months = ["product_id", "period"]
-    daily = digests.group_digests(prices, _GROUP, "unit_price")
-    monthly = digests.merge_digests(daily.withColumn("period", F.date_format("day", "yyyy-MM")), months)
-    estimates = digests.percentiles(monthly, months, (25, 50, 75, 90))
-    values = prices.select("product_id", F.date_format("day", "yyyy-MM").alias("period"), "unit_price")
-    counts = digests.counted_ranks(values, months, "unit_price", estimates, "estimate", ["product_id", "period", "percent"])
-    return digests.certified(estimates, counts, months)
+    monthly = digests.merge_digests(_months(digests.group_digests(prices, _GROUP, "unit_price")), _GROUP)
+    estimates = digests.percentiles(monthly, _GROUP, (25, 50, 75, 90))
+    counts = digests.counted_ranks(_months(prices), _GROUP, "unit_price", estimates, "estimate", [*_GROUP, "percent"])
+    return digests.certified(estimates, counts, _GROUP)
 
 
 def p7_pack(spark: SparkSession, root: str) -> DataFrame:
