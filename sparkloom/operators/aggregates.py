@@ -19,7 +19,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.rows import Relation, Row, call, columns_of, fresh, named, project
+from sparkloom.operators.rows import Given, Relation, Row, call, columns_of, fresh, named, project
 
 Wrap = Callable[[Column], Column]
 
@@ -43,25 +43,6 @@ class Aggregation:
         return Aggregation(lambda row, wrap: (*_flat(self(row, wrap)), *_flat(other(row, wrap))))
 
 
-class Given(Row):
-    """A row of ready Columns, as ``contramap`` makes them."""
-
-    def __init__(self, values: dict[str, Any]):
-        self._values = values
-
-    def __getitem__(self, name: str) -> Any:
-        return self._values[name]
-
-    def __iter__(self):
-        return iter(self._values.values())
-
-    def is_defined(self) -> Column:
-        return F.lit(True)
-
-    def struct(self) -> Column:
-        return F.struct(*[(v.struct() if isinstance(v, Row) else v).alias(n) for n, v in self._values.items()])
-
-
 def _as_row(value: Any) -> Row:
     return value if isinstance(value, Row) else Given(named(value))
 

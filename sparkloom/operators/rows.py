@@ -64,14 +64,42 @@ class Row:
     def __iter__(self) -> Iterator[Any]:
         return (self[n] for n in self._shape.fields)
 
+    def _items(self) -> dict[str, Any]:
+        return dict(zip(self._shape.fields, self, strict=True))
+
+    def _marker(self) -> Column | None:
+        return self._column(self._shape.marker) if self._shape.marker else None
+
     def is_defined(self) -> Column:
         """Whether there is a record (the right side of a left join)."""
-        return self._column(self._shape.marker).isNotNull() if self._shape.marker else F.lit(True)
+        marker = self._marker()
+        return F.lit(True) if marker is None else marker.isNotNull()
 
     def struct(self) -> Column:
         """The record as one struct column; null where there is none."""
-        made = F.struct(*[(v.struct() if isinstance(v, Row) else v).alias(n) for n, v in zip(self._shape.fields, self, strict=True)])
-        return F.when(self.is_defined(), made) if self._shape.marker else made
+        made = F.struct(*[(v.struct() if isinstance(v, Row) else v).alias(n) for n, v in self._items().items()])
+        return made if self._marker() is None else F.when(self.is_defined(), made)
+
+
+class Given(Row):
+    """A record of ready Columns."""
+
+    def __init__(self, values: dict[str, Any]):
+        self._values = values
+
+    def __getitem__(self, name: str) -> Any:
+        if name not in self._values:
+            raise AttributeError(f"no field {name!r}; there are {list(self._values)}")
+        return self._values[name]
+
+    def __iter__(self) -> Iterator[Any]:
+        return iter(self._values.values())
+
+    def _items(self) -> dict[str, Any]:
+        return self._values
+
+    def _marker(self) -> Column | None:
+        return None
 
 
 @dataclass(frozen=True)
@@ -119,7 +147,7 @@ def named(value: Any) -> dict[str, Any]:
     if isinstance(value, dict):
         return value
     if isinstance(value, Row):
-        return dict(zip(value._shape.fields, value, strict=True))
+        return value._items()
     if isinstance(value, (tuple, list)):
         return {f"_{i + 1}": v for i, v in enumerate(value)}
     return {"value": value}
@@ -132,10 +160,10 @@ def project(df: DataFrame, value: Any, keep: tuple[str, ...] = ()) -> Relation:
     def shaped(v: Any) -> str | Shape:
         if isinstance(v, Row):
             marker = None
-            if v._shape.marker:
+            if v._marker() is not None:
                 marker = fresh()
-                columns.append(v._column(v._shape.marker).alias(marker))
-            return Shape({n: shaped(x) for n, x in zip(v._shape.fields, v, strict=True)}, marker)
+                columns.append(v._marker().alias(marker))
+            return Shape({n: shaped(x) for n, x in v._items().items()}, marker)
         if isinstance(v, (dict, tuple)):
             return Shape({n: shaped(x) for n, x in named(v).items()})
         name = fresh()
@@ -149,7 +177,7 @@ def project(df: DataFrame, value: Any, keep: tuple[str, ...] = ()) -> Relation:
 def columns_of(value: Any) -> list[Column]:
     """All leaf Columns of what a lambda gives back."""
     if isinstance(value, Row):
-        return [c for v in value for c in columns_of(v)] + ([value.is_defined()] if value._shape.marker else [])
+        return [c for v in value for c in columns_of(v)] + ([] if value._marker() is None else [value.is_defined()])
     if isinstance(value, dict):
         return [c for v in value.values() for c in columns_of(v)]
     if isinstance(value, (tuple, list)):
