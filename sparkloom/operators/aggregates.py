@@ -12,6 +12,7 @@ values into one list and so need groups that fit a task; give ``order`` where th
 
 from __future__ import annotations
 
+import builtins
 import operator
 from collections.abc import Callable
 from typing import Any
@@ -150,7 +151,7 @@ class Builder:
         )
 
     #: Functions that need no list.
-    KNOWN = {operator.add: F.sum, operator.mul: F.product, min: F.min, max: F.max}
+    KNOWN = {operator.add: F.sum, operator.mul: F.product, builtins.min: F.min, builtins.max: F.max}
 
     def reduce_by(self, f: Callable, combine: Callable, order: Callable | None = None) -> Aggregation:
         """Binary reduction; ``operator.add``, ``operator.mul``, ``min`` and ``max`` become aggregates."""
@@ -189,15 +190,19 @@ def make_wrapped(make: Wrap, value: Column, wrap: Wrap) -> Column:
 
 
 def aggregate(source: Relation, keys: list[Callable], f: Callable) -> Relation:
-    """Group by ``keys`` and aggregate by ``f(key..., builder)``. Keys compare null-safely. No rows, no groups."""
+    """Group by ``keys`` and aggregate by ``f(key..., builder)``. Keys compare null-safely. No rows, no groups.
+
+    In a dependent query the columns of the enclosing row are keys as well.
+    """
     row = source.row
     values = [call(k, row) for k in keys]
-    keyed = project(source.df, {"keys": tuple(values) if values else (F.lit(0),), "row": row})
+    keyed = project(source.df, {"keys": tuple(values) if values else (F.lit(0),), "row": row}, source.hidden)
     key_shape, row_shape = keyed.shape.fields["keys"], keyed.shape.fields["row"]
     key_row = Row(key_shape)
     out = named(_materialised(f(*(list(key_row) if keys else []), Builder())))
-    df, shape_values = _grouped(keyed.df, list(key_shape.columns()), Row(row_shape), out)
-    return project(df, shape_values)
+    df, shape_values = _grouped(keyed.df, [*source.hidden, *key_shape.columns()], Row(row_shape), out)
+    made = project(df, shape_values, source.hidden)
+    return Relation(made.df, made.shape, source.hidden)
 
 
 def _materialised(value: Any) -> Any:

@@ -68,10 +68,10 @@ def same(a: Column, b: Column) -> Column:
 
 
 class Query:
-    """A query over named inputs. ``chain`` says that it only filters, projects and flattens one scan."""
+    """A query over named inputs. ``chain`` says that it only filters, projects, flattens and groups one scan."""
 
-    def __init__(self, build: Build, text: str, chain: bool = False):
-        self._build, self._text, self.chain = build, text, chain
+    def __init__(self, build: Build, text: str, chain: bool = False, grouped: bool = False):
+        self._build, self._text, self.chain, self.grouped = build, text, chain, grouped
 
     # --- running
 
@@ -88,7 +88,7 @@ class Query:
     __str__ = explain
 
     def _then(self, f: Callable[[Relation, Inputs], Relation], text: str, chain: bool = False) -> Query:
-        return Query(lambda given: f(self._build(given), given), f"{self._text} -> {text}", chain and self.chain)
+        return Query(lambda given: f(self._build(given), given), f"{self._text} -> {text}", chain and self.chain, self.grouped or text.startswith("GROUP"))
 
     # --- projections and filters
 
@@ -123,14 +123,18 @@ class Query:
     def flat_map(self, f: Callable[[Row], Query]) -> Query:
         """For each row the rows of a query that may refer to it.
 
-        A dependent query that filters, projects and flattens one scan is built on the product with that scan, so
+        A dependent query that filters, projects, flattens and groups one scan is built on the product with that scan, so
         its conditions become join conditions; any other is a lateral join.
         """
 
         def build(r: Relation, given: Inputs) -> Relation:
             inner = call(f, r.row)
             if inner.chain:
-                around = Relation(r.df, r.shape, (*dict.fromkeys([*r.hidden, *r.shape.columns()]),))
+                hidden, df = (*dict.fromkeys([*r.hidden, *r.shape.columns()]),), r.df
+                if inner.grouped:  # equal rows are still rows of their own
+                    own = fresh()
+                    hidden, df = (*hidden, own), df.withColumn(own, F.monotonically_increasing_id())
+                around = Relation(df, r.shape, hidden)
                 made = inner.relation(Inputs(given.tables, around))
                 return Relation(made.df, made.shape, r.hidden)
             dependent = call(f, Row(r.shape, outer=True)).relation(Inputs(given.tables))
@@ -277,7 +281,7 @@ class Grouping:
 
     def aggregate(self, f: Callable) -> Query:
         """``f(key..., builder)`` gives a dict of key expressions, aggregations and reports."""
-        return self._query._then(lambda r, _: aggregates.aggregate(r, self._keys, f), "GROUP BY AGGREGATE")
+        return self._query._then(lambda r, _: aggregates.aggregate(r, self._keys, f), "GROUP BY AGGREGATE", chain=True)
 
 
 class Ranking(Aggregation):
