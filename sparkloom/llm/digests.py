@@ -167,11 +167,12 @@ def percentiles(digests: DataFrame, keys: Sequence[str], percents: Sequence[int]
 def rank_bounds(digests: DataFrame, keys: Sequence[str], points: DataFrame, point: str) -> DataFrame:
     """Certain bounds of how many values lie at or below, and below, each point of its group.
 
-    ``points`` has keys, point and other columns, which are kept; points of groups without values give no row.
+    ``points`` has keys, point and other columns, which are kept; equal rows count once, points of groups without
+    values give no row.
     """
     rest = points.columns
     weight = F.col("weight")
-    joined = points.join(digests.select(*keys, *CENTROID), list(keys))
+    joined = points.distinct().join(digests.select(*keys, *CENTROID), list(keys))
     return joined.groupBy(*rest).agg(
         F.sum("weight").alias("n"),
         F.sum(F.when(F.col("greatest") <= F.col(point), weight).otherwise(0)).alias("le_least"),
@@ -189,7 +190,7 @@ def counted_ranks(values: DataFrame, keys: Sequence[str], value: str, points: Da
     x, v = F.col(point), F.col("_value")
     return (
         values.select(*keys, F.col(value).alias("_value"))
-        .join(points.select(*dict.fromkeys([*keys, *by, point])), list(keys))
+        .join(points.select(*dict.fromkeys([*keys, *by, point])).distinct(), list(keys))
         .groupBy(*by, point)
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(v <= x).alias("le"), F.count_if(v < x).alias("lt"))
     )

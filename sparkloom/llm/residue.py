@@ -35,7 +35,7 @@ from sparkloom.runtime import cut
 
 #: Size of the hashed feature space and so of the model.
 BUCKETS = 1 << 18
-ROUNDS = 6
+ROUNDS = 8
 #: Share at which an unlabelled passage's probability counts for the positive class; below 1 it keeps the rounds from drifting.
 UNLABELLED_WEIGHT = 0.2
 #: Weight of the overall word distribution that smooths each class, in words.
