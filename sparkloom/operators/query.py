@@ -207,13 +207,13 @@ class Query:
     def deduplicate(self) -> Query:
         return self._then(lambda r, _: Relation(r.df.dropDuplicates(), r.shape), "DEDUPLICATE")
 
-    def deduplicate_by(self, f: Callable, first: Callable) -> Query:
-        """The first row per key in the order of ``first``; the row is chosen by an aggregate, so hot keys combine early."""
+    def deduplicate_by(self, f: Callable, first: Callable, descending: bool = False) -> Query:
+        """The first row per key in the order of ``first``, or the last; it is chosen by an aggregate, so hot keys combine early."""
 
         def build(r: Relation, _: Inputs) -> Relation:
             columns, keys = list(r.shape.columns()), [c.alias(fresh()) for c in columns_of(call(f, r.row))]
             order = F.struct(*columns_of(call(first, r.row)), *columns)
-            got = r.df.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("_first"))
+            got = r.df.groupBy(*keys).agg((F.max_by if descending else F.min_by)(F.struct(*columns), order).alias("_first"))
             return Relation(got.select("_first.*"), r.shape)
 
         return self._then(build, "DEDUPLICATE BY")

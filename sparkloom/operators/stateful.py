@@ -37,9 +37,9 @@ def _schema(text: str) -> T.StructType:
 def run_ordered(_: DataFrame, r: Relation, keys: list[Column], order: list[Column], zero: Callable, step: Callable, schema: str) -> DataFrame:
     """Stream rows in order through ``step``; each key has its own state."""
     names = list(r.shape.fields)
-    k, o = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
-    df = r.df.select(*[c.alias(n) for c, n in zip(keys, k, strict=True)], *[c.alias(n) for c, n in zip(order, o, strict=True)], *_named(r))
-    df = (df.repartition(*k) if k else df.repartition(1)).sortWithinPartitions(*k, *o)
+    k = [f"_k{i}" for i in range(len(keys))]
+    df = r.df.withColumns(dict(zip(k, keys, strict=True)))
+    df = (df.repartition(*k) if k else df.repartition(1)).sortWithinPartitions(*k, *order).select(*k, *_named(r))
     out_names = _schema(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,10 +59,10 @@ def run_ordered(_: DataFrame, r: Relation, keys: list[Column], order: list[Colum
 
 def fold_all(_: DataFrame, r: Relation, order: list[Column], zero: Callable, step: Callable, results: Callable, schema: str, merge: Callable | None) -> DataFrame:
     """Fold all rows into one state and emit ``results(state)``; an empty input emits the results of ``zero()``."""
-    o = [f"_o{i}" for i in range(len(order))]
-    df = r.df.select(*[c.alias(n) for c, n in zip(order, o, strict=True)], *_named(r))
+    df = r.df
     if merge is None:
-        df = df.repartition(1).sortWithinPartitions(*o) if o else df.repartition(1)
+        df = df.repartition(1).sortWithinPartitions(*order) if order else df.repartition(1)
+    df = df.select(*_named(r))
     names, out_names = list(r.shape.fields), _schema(schema).names
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
