@@ -103,8 +103,15 @@ _TRUSTED = re.compile(
     """,
     re.IGNORECASE | re.VERBOSE,
 )
+#: Words of which every alternative of ``_TRUSTED`` has one, so that most passages needn't be matched.
+_TRIGGERS = frozenset(
+    "error erreur fehler http <title> <noscript> page seite access forbidden service session requests maintenance zugriff pagina página demandée solicitada found wrong "
+    "javascript javascripts java script scripts scripting js blocked exception traceback trace text paragraph content heading title beispieltext blindtext platzhaltertext fülltext "
+    "texto texte todo inhalt contenu contenido line placeholder bad gateway".split()
+)
 #: A person speaks or asks.
 _PERSON = re.compile(r"\b(?:i|my|me|mine|i'm|ich|mein\w*|mir|je|j'ai|mon|ma|mes|yo|mi|mis|their|theirs)\b|\?", re.IGNORECASE)
+_SLOT_SIGN = re.compile(r"[{\[<%@*_#$(]")
 _WORD = re.compile(r"\x00\w+\x00|</?[a-z]\w*>?|[^\W\d_]+(?:'[^\W\d_]+)?|\d+|[?!:]|\.{3}|…")
 
 
@@ -115,6 +122,8 @@ def without_quotes(text: str) -> str:
     none matches, or to the next blank line if there is none. Outside of tags a line behind a quote mark is
     quoted, and the line before it that names who wrote it goes with it.
     """
+    if ">" not in text and "[" not in text:
+        return text
     out: list[str] = []
     at, end = 0, len(text)
     line_start = True
@@ -166,16 +175,19 @@ def own_text(text: str | None) -> str:
         if _SIGNATURE.match(lines[k]):
             lines = lines[:k]
             break
-    return _CODE.sub(" \x00code\x00 ", "\n".join(lines))
+    own = "\n".join(lines)
+    return _CODE.sub(" \x00code\x00 ", own) if "`" in own or "code" in own or "CODE" in own else own
 
 
 def passages(text: str | None) -> list[str]:
     """The sentences and lines of the own text."""
-    plain = _MARKUP.sub(" ", own_text(text))
+    plain = own_text(text)
+    if "<" in plain or "[" in plain:
+        plain = _MARKUP.sub(" ", plain)
     out = []
     for line in _BREAK.split(plain):
         for p in _SENTENCE.split(line):
-            p = html.unescape(p).strip()
+            p = (html.unescape(p) if "&" in p else p).strip()
             if p:
                 out.append(p)
     return out
@@ -184,6 +196,8 @@ def passages(text: str | None) -> list[str]:
 def _marked(passage: str) -> tuple[str, set[str]]:
     """The passage with placeholders as marks, and which syntaxes it has."""
     seen: set[str] = set()
+    if not _SLOT_SIGN.search(passage):
+        return passage, seen
 
     def mark(m: re.Match) -> str:
         seen.add(m.lastgroup)
@@ -193,55 +207,94 @@ def _marked(passage: str) -> tuple[str, set[str]]:
 
 
 def tokens_of(passage: str) -> tuple[list[str], set[str]]:
-    """Words, digits as one word, marks for placeholders and runs of one letter."""
+    """Words in lower case, numbers, marks for placeholders; and the syntaxes of placeholders."""
     marked, slots = _marked(passage)
-    words = []
-    for w in _WORD.findall(marked.lower()):
-        if w[0].isdigit():
-            w = f"#{len(w)}"
-        elif len(w) > 2 and len(set(w)) == 1:
-            w = "\x00run\x00"
-        words.append(w)
-    return words, slots
+    return _WORD.findall(marked.lower()), slots
 
 
 def is_trusted(passage: str, words: list[str], slots: set[str]) -> bool:
     """A certain case: template syntax, filler, or the voice of an error page or script notice."""
     if slots:
         return True
-    if _PERSON.search(passage):
-        return False
-    latin = len({w for w in words if w in _LATIN})
-    run = sum(w == "\x00run\x00" for w in words)
-    return bool(latin >= 3 or run >= 4 or _TRUSTED.search(passage))
+    latin = len(_LATIN.intersection(words)) >= 3
+    run = bool(_RUN.search(passage)) and sum(_is_run(w) for w in words) >= 4
+    status = bool(words) and len(words[0]) == 3 and words[0].isdigit()
+    spoken = not latin and not run and (status or not _TRIGGERS.isdisjoint(words)) and bool(_TRUSTED.search(passage))
+    return (latin or run or spoken) and not _PERSON.search(passage)
+
+
+_RUN = re.compile(r"(\w)\1\1", re.IGNORECASE)
+
+
+def _is_run(w: str) -> bool:
+    return len(w) > 2 and w[0] == w[1] and w == w[0] * len(w)
+
+
+class _Hashes(dict):
+    """Hashes of words; numbers of one length are one word, and so are runs of one letter."""
 
+    def __missing__(self, w: str) -> int:
+        kind = f"#{len(w)}" if w[0].isdigit() else "\x00run\x00" if _is_run(w) else w
+        h = self[w] = zlib.crc32(kind.encode())
+        return h
 
-def features(words: list[str], repeated: bool) -> list[int]:
-    """Hashed words and pairs of words, each once per passage."""
-    w = ["\x00start\x00", *words, "\x00end\x00"]
-    names = {*words, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
-    if repeated:
-        names.add("\x00repeated\x00")
-    return sorted({zlib.crc32(x.encode()) % BUCKETS for x in names})
 
+_EDGE, _REPEATED = (zlib.crc32(x.encode()) for x in ("\x00edge\x00", "\x00repeated\x00"))
 
-def passage_features(texts: list[str | None]) -> list[tuple[int, int, list[int], bool]]:
+
+def hashed_features(flat: list[int], sizes: list[int], repeated: list[bool]) -> list[np.ndarray]:
+    """Per passage its hashed words and pairs of words, the edges included, each once."""
+    n = np.array(sizes, dtype=np.int64)
+    words = np.array(flat, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(n)), n)
+    ends = np.cumsum(n)
+    before = np.empty(len(words), dtype=np.uint64)
+    before[1:] = words[:-1]
+    before[ends - n] = _EDGE
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a * np.uint64(0x9E3779B1) ^ b) * np.uint64(0x85EBCA6B)) >> np.uint64(13)
+
+    more = np.flatnonzero(repeated)
+    feature = np.concatenate([words, pair(before, words), pair(words[ends - 1], np.uint64(_EDGE)), np.full(len(more), _REPEATED, dtype=np.uint64)]) % np.uint64(BUCKETS)
+    keys = np.sort(np.concatenate([owner, owner, np.arange(len(n)), more]) * BUCKETS + feature.astype(np.int64))
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+    cuts = np.searchsorted(keys, np.arange(1, len(n)) * BUCKETS)
+    return np.split((keys % BUCKETS).astype(np.int32), cuts)
+
+
+def passage_features(texts: list[str | None]) -> list[tuple[int, int, np.ndarray, bool]]:
     """(index of the text, number of the passage, features, trusted) of all passages of a batch."""
-    out = []
+    rows, flat, sizes, repeated, known = [], [], [], [], _Hashes()
     for i, text in enumerate(texts):
         found = [(p, *tokens_of(p)) for p in passages(text)]
-        keys = [" ".join(w) for _, w, _ in found]
         for n, (p, words, slots) in enumerate(found):
             lo, hi = n, n
-            while lo > 0 and keys[lo - 1] == keys[n]:
+            while lo > 0 and found[lo - 1][1] == words:
                 lo -= 1
-            while hi + 1 < len(keys) and keys[hi + 1] == keys[n]:
+            while hi + 1 < len(found) and found[hi + 1][1] == words:
                 hi += 1
             repeats = hi - lo + 1
             trusted = is_trusted(p, words, slots) or (repeats == len(found) > 3 and len(words) > 1)
-            if trusted or sum(w[0] not in "#?!:.…" for w in words) > 1:  # a word alone, or digits, say nothing
-                out.append((i, n, features(words, repeats > 1), trusted))
-    return out
+            if words and (trusted or _tells(words)):
+                rows.append((i, n, trusted))
+                flat.extend(map(known.__getitem__, words))
+                sizes.append(len(words))
+                repeated.append(repeats > 1)
+    if not rows:
+        return []
+    return [(i, n, f, t) for (i, n, t), f in zip(rows, hashed_features(flat, sizes, repeated), strict=True)]
+
+
+def _tells(words: list[str]) -> bool:
+    """A word alone, or numbers, say nothing."""
+    seen = False
+    for w in words:
+        if w[0] not in "0123456789?!:.…":
+            if seen:
+                return True
+            seen = True
+    return False
 
 
 def feature_table(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
