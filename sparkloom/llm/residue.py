@@ -77,6 +77,9 @@ _LATIN = frozenset(
     "excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit laborum mollis auctor lacus turpis vestibulum portis rutrum augue".split()
 )
 
+# Words of test posts and of rows of keys.
+_MASH = frozenset("test tests testing tester asdf asdfg asdfgh asdfghj qwer qwert qwerty zxcv zxcvb jkl jklö fdsa hjkl foo bar baz blah bla abc".split())
+
 # How error pages, fillers and script notices speak, in the board's languages.
 _TRUSTED = re.compile(
     r"""
@@ -87,6 +90,7 @@ _TRUSTED = re.compile(
     | \bpage\s(?:you\s[\w\s]{1,30}?)?(?:was\s(?:moved|deleted|removed)|is\snot\savailable|cannot\sbe\s(?:found|displayed)) | \bpage\s\S{1,60}\s(?:could\snot|cannot)\sbe\s
     | ^(?:page\s)?not\sfound[.!]?$ | ^access\s(?:denied|forbidden|refused)[.!]?$ | ^forbidden[.!]?$
     | \bsomething\swent\swrong\son\s(?:our|this)\b
+    | ^(?:oops|whoops|uh\soh|sorry)\b.{0,20}\b(?:hit\sa\ssnag|did\snot\swork|went\swrong) | ^our\steam\shas\sbeen\s(?:told|notified|informed) | \b(?:id|incident|reference)\s[0-9a-f]{8,}\b
     | ^service\s(?:temporarily\s)?(?:unavailable|offline)
     | ^your\ssession\shas\s | ^too\smany\srequests | \bdown\sfor\smaintenance\b
     | ^seite\snicht\s | ^zugriff\sverweigert | ^page\s(?:non\strouvée|introuvable) | ^p[aá]gina\sno\s | \bp[aá]gina\ssolicitada\b | \bpage\sdemandée\b
@@ -99,7 +103,7 @@ _TRUSTED = re.compile(
     | ^(?:bitte\s)?(?:aktivieren|erlauben|schalten)\ssie\sjavascript | ^(?:veuillez\s)?(?:activer|autoriser)\sjavascript | ^(?:por\sfavor\s)?(?:active|habilite|permita)\sjavascript
     | ^(?:sample|dummy|filler|placeholder|example|your)\s(?:text|paragraph|content|heading|title)\b[^,]{0,20}$
     | ^(?:beispieltext|blindtext|platzhaltertext|fülltext|texto\sde\s(?:ejemplo|relleno|prueba)|texte\s(?:de\sremplissage|d'exemple|fictif))\b[.!]?$
-    | ^todo\s?: | ^replace\sthis\s(?:text|paragraph|line)\b | \b(?:content|text)\s(?:goes\shere|pending|coming\ssoon|will\sbe\sadded) | ^inhalt\sfolgt\b | ^contenu\sà\svenir\b | ^contenido\spróximamente\b
+    | ^(?:add|enter|write|type|insert|put|paste)\syour\s.{1,60}\b(?:here|below|in\sthis\s(?:box|field|section|space))[.!]?$ | ^todo\s?: | ^replace\sthis\s(?:text|paragraph|line)\b | \b(?:content|text)\s(?:goes\shere|pending|coming\ssoon|will\sbe\sadded) | ^inhalt\sfolgt\b | ^contenu\sà\svenir\b | ^contenido\spróximamente\b
     """,
     re.IGNORECASE | re.VERBOSE,
 )
@@ -107,7 +111,7 @@ _TRUSTED = re.compile(
 _TRIGGERS = frozenset(
     "error erreur fehler http <title> <noscript> page seite access forbidden service session requests maintenance zugriff pagina página demandée solicitada found wrong "
     "javascript javascripts java script scripts scripting js blocked exception traceback trace text paragraph content heading title beispieltext blindtext platzhaltertext fülltext "
-    "texto texte todo inhalt contenu contenido line placeholder bad gateway".split()
+    "here below box field section space oops whoops uh sorry team id incident reference texto texte todo inhalt contenu contenido line placeholder bad gateway".split()
 )
 #: A person speaks or asks.
 _PERSON = re.compile(r"\b(?:i|my|me|mine|i'm|ich|mein\w*|mir|je|j'ai|mon|ma|mes|yo|mi|mis|their|theirs)\b|\?", re.IGNORECASE)
@@ -219,8 +223,11 @@ def is_trusted(passage: str, words: list[str], slots: set[str]) -> bool:
     latin = len(_LATIN.intersection(words)) >= 3
     run = bool(_RUN.search(passage)) and sum(_is_run(w) for w in words) >= 4
     status = bool(words) and len(words[0]) == 3 and words[0].isdigit()
-    spoken = not latin and not run and (status or not _TRIGGERS.isdisjoint(words)) and bool(_TRUSTED.search(passage))
-    return (latin or run or spoken) and not _PERSON.search(passage)
+    letters = [w for w in words if w[0].isalpha()]
+    mash = len(letters) >= 3 and sum(w in _MASH for w in letters) >= 0.8 * len(letters)
+    same = len(letters) >= 6 and len(set(letters)) <= max(2, len(letters) // 5)
+    spoken = not (latin or run or mash or same) and (status or not _TRIGGERS.isdisjoint(words)) and bool(_TRUSTED.search(passage))
+    return (latin or run or mash or same or spoken) and not _PERSON.search(passage)
 
 
 _RUN = re.compile(r"(\w)\1\1", re.IGNORECASE)
