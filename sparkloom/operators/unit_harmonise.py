@@ -108,12 +108,12 @@ def with_attribute(rows: DataFrame, attributes: DataFrame, variable: str = "vari
     keep = [F.col(c) for c in rows.columns]
     return (
         rows.withColumn("_whole", letters_key(F.col(variable)))
-        .withColumn("_cut", letters_key(start))
         .join(whole, F.col("_whole") == F.col("_k1"), "left")
+        .withColumn("_cut", F.when(F.col("_a1").isNull(), letters_key(start)))  # notes are only looked for where needed
         .join(cut_off, F.col("_cut") == F.col("_k2"), "left")
         .withColumn("_attribute", F.coalesce("_a1", "_a2"))
         .where(F.col("_attribute").isNotNull())
-        .select(*keep, F.col("_attribute.*"), F.when(F.col("_a1").isNull(), F.trim(note)).otherwise("").alias("_note"))
+        .select(*keep, F.col("_attribute.*"), F.when(F.col("_a1").isNull(), F.trim(note)).alias("_note"))
     )
 
 
@@ -135,28 +135,30 @@ def harmonise(
     chosen = [F.col(k) for k in dict.fromkeys([*keep, "variable", "value", "unit"])]
     decimals = with_attribute(rows.select(*chosen), attributes).where(F.col("value_type") == "decimal")
     texts = decimals.select(
-        *keep, "attr_code", "quantity", "common_unit",
+        *keep, "attr_code", "quantity", "common_unit", "value",
         is_missing(F.col("value")).alias("_missing"),
         number_in(F.col("value")).alias("number"),
-        unit_spelling(F.col("unit")).alias("_t_field"),
-        unit_spelling(value_parts(F.col("value"))).alias("_t_value"),
-        unit_spelling(F.col("_note")).alias("_t_note"),
+        F.col("unit").alias("_field"),
+        "_note",
     )
     alias = broadcast_within(alias_table(units, spellings))
-    sources = ("field", "value", "note", "default")
+    sources = {"field": F.col("_field"), "value": value_parts(F.col("value")), "note": F.col("_note")}
     common = units.select(F.col("unit_code").alias("_default"), F.col("quantity").alias("_q_default"), F.col("factor_to_common").alias("_f"),
                           (F.col("offset_to_common") if "offset_to_common" in units.columns else F.lit(0.0)).alias("_o")).dropDuplicates(["_default", "_q_default"])
-    for s in sources[:3]:
+    found = F.lit(False)
+    for s, text in sources.items():  # a source is only read where none before it is known
         known = alias.select(F.col("alias").alias(f"_a_{s}"), F.col("unit_quantity").alias(f"_q_{s}"), F.struct("unit_code", "factor", "offset").alias(f"_u_{s}"))
+        texts = texts.withColumn(f"_t_{s}", F.when(~found, unit_spelling(text)))
         texts = texts.join(known, (F.col(f"_t_{s}") == F.col(f"_a_{s}")) & (F.col("quantity") == F.col(f"_q_{s}")), "left")
+        found = found | F.col(f"_u_{s}").isNotNull()
     texts = texts.join(common, (F.col("common_unit") == F.col("_default")) & (F.col("quantity") == F.col("_q_default")), "left")
     no_unit = unit_spellings_of_none()
     foreign = F.lit(False)
-    for s in sources[:3]:
+    for s in sources:
         foreign = foreign | (F.col(f"_u_{s}").isNull() & ~F.coalesce(F.col(f"_t_{s}"), F.lit("")).isin(*no_unit))
     fallback = F.when(~foreign, F.struct(F.col("common_unit").alias("unit_code"), F.coalesce("_f", F.lit(1.0)).alias("factor"), F.coalesce("_o", F.lit(0.0)).alias("offset")))
-    unit = F.coalesce(*[F.col(f"_u_{s}") for s in sources[:3]], fallback)
-    source = F.coalesce(*[F.when(F.col(f"_u_{s}").isNotNull(), s) for s in sources[:3]], F.when(~foreign, "default"))
+    unit = F.coalesce(*[F.col(f"_u_{s}") for s in sources], fallback)
+    source = F.coalesce(*[F.when(F.col(f"_u_{s}").isNotNull(), s) for s in sources], F.when(~foreign, "default"))
     out = texts.withColumn("_unit", unit).withColumn("unit_from", source)
     status = F.when(F.col("_missing"), "missing").when(F.col("_unit").isNull() | F.col("number").isNull(), "unknown").otherwise("ok")
     return out.withColumn("unit_status", status).select(
