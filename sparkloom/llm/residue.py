@@ -36,6 +36,8 @@ from sparkloom.runtime import cut
 #: Size of the hashed feature space and so of the model.
 BUCKETS = 1 << 18
 ROUNDS = 8
+#: Relative change of the expected number of cases at which the rounds end.
+STANDSTILL = 1e-4
 #: Share at which an unlabelled passage's probability counts for the positive class; below 1 it keeps the rounds from drifting.
 UNLABELLED_WEIGHT = 0.2
 #: Weight of the overall word distribution that smooths each class, in words.
@@ -365,7 +367,8 @@ def _expected(table: DataFrame, model: NaiveBayes | None, weight_of_unlabelled:
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"feature": seen.astype(np.int32), "positive": positive[seen], "total": total[seen]})
 
-    sums = table.select("features", "trusted").mapInPandas(count, "feature int, positive double, total double").groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total"))
+    tasks = 4 * table.sparkSession.sparkContext.defaultParallelism  # each gives off up to BUCKETS rows
+    sums = table.select("features", "trusted").coalesce(tasks).mapInPandas(count, "feature int, positive double, total double").groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total"))
     got = sums.toPandas()  # at most BUCKETS + 1 rows
     positive, total = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     positive[got["feature"]], total[got["feature"]] = got["positive"], got["total"]
@@ -373,13 +376,16 @@ def _expected(table: DataFrame, model: NaiveBayes | None, weight_of_unlabelled:
 
 
 def fit(table: DataFrame, rounds: int = ROUNDS, smoothing: float = SMOOTHING, weight_of_unlabelled: float = UNLABELLED_WEIGHT) -> NaiveBayes | None:
-    """Expectation-maximization over all passages; None if none is trusted."""
-    model = None
+    """Expectation-maximization over all passages, until the expected number of cases stands still; None if none is trusted."""
+    model, before = None, 0.0
     for _ in range(rounds):
         counts = _expected(table, model, weight_of_unlabelled)
         if not counts[2]:
             return None
         model = NaiveBayes(*counts, smoothing)
+        if abs(counts[2] - before) <= STANDSTILL * counts[2]:
+            break
+        before = counts[2]
     return model
 
 
