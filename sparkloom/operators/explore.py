@@ -8,10 +8,12 @@ from collections.abc import Callable
 from decimal import ROUND_HALF_EVEN, Context, Decimal
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.runtime import cut
+
 _ORDERED = (T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Columns of a description, all strings but the last.
 DESCRIPTION = ("field", "count", "mean", "std", "min", "percentile25", "percentile75", "percentile90", "max")
@@ -26,33 +28,63 @@ def leaves(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataType
     return out
 
 
-def measures(df: DataFrame, accuracy: int | None = None, unique: bool = False) -> DataFrame:
+#: Distinct values of a column up to which its percentiles are taken from one map of values; beyond it from sorted parts.
+DISTINCT_IN_ONE_MAP = 1_000_000
+_PERCENTS = (25, 75, 90)
+
+
+def exact_percentiles(df: DataFrame, column: Column, percents: tuple[int, ...] = _PERCENTS) -> list[float | None]:
+    """Nearest-rank percentiles of a numeric column of any size.
+
+    Equal values are counted first, so no value is hot; the values are sorted in ranges, the range that holds a
+    rank follows from the ranges' counts, and only that range is looked into.
+    """
+    x = F.col("_x")
+    counted = df.select(column.cast("double").alias("_x")).where(x.isNotNull()).groupBy("_x").agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(counted.repartitionByRange(x).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n"), F.min("_x").alias("first")).orderBy("first").collect()  # one row per range
+    total, found = sum(p.n for p in parts), []
+    for percent in percents:
+        rank, below = max(1, -(-total * percent // 100)), 0
+        for p in parts:
+            if below + p.n >= rank:
+                upto = F.sum("n").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(below)
+                found.append(ranged.where(F.col("part") == p.part).withColumn("upto", upto).where(F.col("upto") >= rank).agg(F.min("_x")).collect()[0][0])
+                break
+            below += p.n
+    return found or [None] * len(percents)
+
+
+def measures(df: DataFrame, accuracy: int | None = None, unique: bool = False, in_one_map: int = DISTINCT_IN_ONE_MAP) -> DataFrame:
     """Unformatted measures, one row per field that has a value: field, count, mean, std, min, percentiles, max, unique.
 
-    All fields are measured in one pass. Percentiles are nearest rank and exact, which keeps the distinct values of
-    a column; with ``accuracy`` they are approximate with rank error 1/accuracy, for columns with very many.
-    Nulls don't count and arrays are left out. An empty table gives no rows.
+    All fields are measured in one pass. Percentiles are nearest rank and exact, by a second pass; for columns with
+    more than about ``in_one_map`` distinct values by sorted ranges. With ``accuracy`` they are approximate, with
+    rank error 1/accuracy, in the first pass. Nulls don't count and arrays are left out. An empty table gives no rows.
     """
     none = F.lit(None)
+    fields = [(i, path, kind) for i, (path, kind) in enumerate(leaves(df.schema)) if not isinstance(kind, (T.ArrayType, T.MapType))]
+    numeric = {i: path for i, path, kind in fields if isinstance(kind, T.NumericType)}
+    percentiles: dict[int, list[Column]] = {}
+    if accuracy:
+        percentiles = {i: [F.percentile_approx(F.col(p).cast("double"), q / 100, accuracy) for q in _PERCENTS] for i, p in numeric.items()}
+    elif numeric:
+        sizes = df.agg(*[F.approx_count_distinct(F.col(p)).alias(f"_{i}") for i, p in numeric.items()]).collect()[0]
+        for i, p in numeric.items():
+            if sizes[f"_{i}"] <= in_one_map:
+                percentiles[i] = [F.expr(f"percentile_disc({q / 100}) WITHIN GROUP (ORDER BY CAST({p} AS DOUBLE))") for q in _PERCENTS]
+            else:
+                percentiles[i] = [F.lit(v) for v in exact_percentiles(df, F.col(p))]
     aggregates, records = [], []
-    for i, (path, kind) in enumerate(leaves(df.schema)):
-        if isinstance(kind, (T.ArrayType, T.MapType)):
-            continue
-        numeric = isinstance(kind, T.NumericType)
-        ordered = numeric or isinstance(kind, _ORDERED)
-        x = F.col(path).cast("double") if numeric else F.col(path)
-
-        def rank(p: float, path: str = path, x: Column = x) -> Column:
-            return F.percentile_approx(x, p, accuracy) if accuracy else F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST({path} AS DOUBLE))")
-
+    for i, path, kind in fields:
+        ordered = i in numeric or isinstance(kind, _ORDERED)
+        x = F.col(path).cast("double") if i in numeric else F.col(path)
         wanted = {
             "count": F.count(x),
-            "mean": F.avg(x) if numeric else None,
-            "std": F.stddev_pop(x) if numeric else None,
+            "mean": F.avg(x) if i in numeric else None,
+            "std": F.stddev_pop(x) if i in numeric else None,
             "min": F.min(x).cast("string") if ordered else None,
-            "percentile25": rank(0.25).cast("string") if numeric else None,
-            "percentile75": rank(0.75).cast("string") if numeric else None,
-            "percentile90": rank(0.9).cast("string") if numeric else None,
+            **{f"percentile{q}": percentiles[i][k].cast("string") if i in numeric else None for k, q in enumerate(_PERCENTS)},
             "max": F.max(x).cast("string") if ordered else None,
             "unique": F.sort_array(F.collect_set(x.cast("string"))) if unique and not ordered else None,
         }
@@ -61,7 +93,7 @@ def measures(df: DataFrame, accuracy: int | None = None, unique: bool = False) -
         records.append(
             F.struct(
                 F.lit(path.replace("`", "")).alias("field"),
-                F.lit(numeric).alias("numeric"),
+                F.lit(i in numeric).alias("numeric"),
                 *[(none.cast(kinds.get(n, "string")) if c is None else F.col(f"_{i}_{n}")).alias(n) for n, c in wanted.items()],
             )
         )
@@ -78,7 +110,10 @@ def round_plain(value: float | str | None, digits: int = 7) -> str | None:
 
 
 def describe(df: DataFrame, digits: int = 7, unique: bool = False, accuracy: int | None = None) -> DataFrame:
-    """The description of a table: DESCRIPTION as strings and ``unique``, the distinct values of text fields."""
+    """The description of a table: DESCRIPTION as strings and ``unique``, the distinct values of text fields.
+
+    ``unique`` gathers a text field's distinct values in one row; leave it out for fields with very many.
+    """
     plain = F.udf(lambda v: round_plain(v, digits), "string")
     m = measures(df, accuracy, unique)
 

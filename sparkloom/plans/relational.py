@@ -144,10 +144,16 @@ def inner_join() -> Query:
     return q.map(lambda o, c: {"o_orderkey": o.o_orderkey, "c_name": c.c_name})
 
 
-@query("SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
-def theta_self_join() -> Query:
-    q = select("supplier").join(select("supplier")).on(lambda a, b: (a.s_nationkey == b.s_nationkey) & (a.s_acctbal < b.s_acctbal))
-    return q.map(lambda a, b: {"low": a.s_suppkey, "high": b.s_suppkey})
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 1000 * n_regionkey")
+def theta_join() -> Query:
+    q = select("supplier").join(select("nation")).on(lambda s, n: (s.s_nationkey == n.n_nationkey) & (s.s_acctbal > 1000 * n.n_regionkey))
+    return q.map(lambda s, n: {"s_suppkey": s.s_suppkey, "n_name": n.n_name})
+
+
+@query("SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def self_join() -> Query:
+    q = select("nation").join(select("nation")).on(lambda a, b: (a.n_regionkey == b.n_regionkey) & (a.n_nationkey < b.n_nationkey))
+    return q.map(lambda a, b: {"low": a.n_name, "high": b.n_name})
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey < n_regionkey")
@@ -162,11 +168,12 @@ def left_join() -> Query:
     return q.map(lambda c, o: {"c_custkey": c.c_custkey, "o_orderkey": o.o_orderkey, "matched": o.is_defined()})
 
 
-@query("SELECT a.id AS a, b.id AS b FROM sales_order a JOIN sales_order b ON a.ship_postal_code IS NOT DISTINCT FROM b.ship_postal_code AND a.customer_id = b.customer_id AND a.id < b.id WHERE a.freight > 500 AND b.freight > 500")
+@query("SELECT s.id, s.ship_region, g.n FROM sales_order s JOIN (SELECT ship_region, count(*) AS n FROM sales_order GROUP BY 1) g ON s.ship_region IS NOT DISTINCT FROM g.ship_region")
 def null_safe_join() -> Query:
-    big = select("sales_order").where(lambda s: s.freight > 500)
-    q = big.join(big).on(lambda a, b: same(a.ship_postal_code, b.ship_postal_code) & (a.customer_id == b.customer_id) & (a.id < b.id))
-    return q.map(lambda a, b: {"a": a.id, "b": b.id})
+    """Missing regions meet the missing region's count."""
+    sizes = select("sales_order").group_by(lambda s: s.ship_region).aggregate(lambda k, a: {"region": k, "n": a.size()})
+    q = select("sales_order").join(sizes).on(lambda s, g: same(s.ship_region, g.region))
+    return q.map(lambda s, g: {"id": s.id, "ship_region": s.ship_region, "n": g.n})
 
 
 @query("SELECT p_partkey, n_name FROM part JOIN nation ON list_contains([p_size, p_size + 1, 2 * p_size], n_nationkey)")
@@ -323,12 +330,12 @@ def window_rankings() -> Query:
     return both.map(lambda e: {"event_id": e.event_id, "i": e.i.cast("bigint"), "r": e.r.cast("bigint"), "before": e.before})
 
 
-@query("SELECT id, lag(quantity) OVER (PARTITION BY product_id, ship_country ORDER BY order_date DESC, shipped_date DESC, did, loaded_at) AS before FROM (SELECT DISTINCT o.id, d.id AS did, product_id, ship_country, order_date, shipped_date, quantity, o.loaded_at, o.freight FROM sales_order o JOIN order_detail d ON o.id = d.order_id WHERE product_id <= 10003)")
+@query("SELECT id, lag(quantity) OVER (PARTITION BY product_id, ship_country ORDER BY order_date DESC, shipped_date DESC, did, loaded_at, freight) AS before FROM (SELECT DISTINCT o.id, d.id AS did, product_id, ship_country, order_date, shipped_date, quantity, o.loaded_at, o.freight FROM sales_order o JOIN order_detail d ON o.id = d.order_id)")
 def window_lag_over_join() -> Query:
-    joined = select("sales_order").join(select("order_detail").where(lambda d: d.product_id <= 10003)).on(lambda o, d: o.id == d.order_id)
+    joined = select("sales_order").join(select("order_detail")).on(lambda o, d: o.id == d.order_id)
     rows = joined.map(lambda o, d: {"id": o.id, "did": d.id, "product_id": d.product_id, "ship_country": o.ship_country, "order_date": o.order_date, "shipped_date": o.shipped_date, "quantity": d.quantity, "loaded_at": o.loaded_at, "freight": o.freight}).deduplicate()
     w = rows.window(lambda a: {"before": lag(lambda r: r.quantity)}).partition_by(lambda r: r.product_id, lambda r: r.ship_country)
-    w = w.order_by(lambda r: r.order_date.desc(), lambda r: r.shipped_date.desc(), lambda r: r.did, lambda r: r.loaded_at)
+    w = w.order_by(lambda r: r.order_date.desc(), lambda r: r.shipped_date.desc(), lambda r: r.did.asc_nulls_last(), lambda r: r.loaded_at.asc_nulls_last(), lambda r: r.freight.asc_nulls_last())
     return w.over().map(lambda r: {"id": r.id, "before": r.before})
 
 

@@ -40,9 +40,21 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete what ``cut`` has written in this process, once no DataFrame built on it is needed any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def broadcast_within(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if ``df`` is counted to have at most ``rows`` rows; else leave it to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -63,7 +63,8 @@ class Reader:
         """Keep the errors of each record in a column ``errors`` instead of failing."""
         return dataclasses.replace(self, strict=False)
 
-    def _one(self, path: str) -> DataFrame:
+    def _one(self, path: str | list[str]) -> DataFrame:
+        """One scan of files with the same header."""
         o = self.options
         raw = (
             self.spark.read.option("header", True)
@@ -88,9 +89,14 @@ class Reader:
         return self._one(path)
 
     def files(self, paths: Sequence[str]) -> DataFrame:
-        out = self._one(paths[0])
-        for p in paths[1:]:
-            out = out.unionByName(self._one(p))
+        """Files with the same header are one scan, so the plan grows with the kinds of headers only."""
+        kinds: dict[str, list[str]] = {}
+        for p in paths:
+            kinds.setdefault(files.first_line(self.spark, p), []).append(p)
+        scans = [self._one(group) for group in kinds.values()]
+        out = scans[0]
+        for s in scans[1:]:
+            out = out.unionByName(s)
         return out
 
     def directory(self, root: str, pattern: str = "*", max_depth: int = 20) -> DataFrame:

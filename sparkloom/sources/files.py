@@ -9,6 +9,8 @@ import urllib.request
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 
 def directory(root: str, pattern: str = "*", max_depth: int = 20) -> list[str]:
     """Regular files below ``root`` whose full path matches the glob, in order of their path."""
@@ -22,6 +24,17 @@ def directory(root: str, pattern: str = "*", max_depth: int = 20) -> list[str]:
     return sorted(found)
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file in any file system Spark knows."""
+    jvm = spark._jvm  # noqa: SLF001
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)  # noqa: SLF001
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
 def fetched(url: str, folder: str) -> str:
     """A URL's content as a file in ``folder`` (shared by the executors on a cluster)."""
     handle, path = tempfile.mkstemp(dir=folder)

@@ -173,6 +173,15 @@ def test_describe_golden(spark):
     assert explore.describe(df.where("false")).count() == 0
 
 
+def test_percentiles_by_sorted_ranges(spark):
+    df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id * 7919 % 1009 END AS x", "CAST(NULL AS INT) AS y")
+    values = sorted(r.x for r in df.collect())
+    want = [float(values[-(-len(values) * q // 100) - 1]) for q in (25, 75, 90)]
+    assert explore.exact_percentiles(df, F.col("x")) == want and explore.exact_percentiles(df, F.col("y")) == [None] * 3
+    both = [[r["percentile25"], r["percentile75"], r["percentile90"]] for limit in (1, 10**6) for r in explore.measures(df, in_one_map=limit).collect()]
+    assert [[float(v) for v in b] for b in both] == [want, want]
+
+
 def test_show(spark, people):
     df = spark.createDataFrame([("a" * 30, [1, None], {"k": 2}, ("x", None)), (None, [], {}, None)], "s string, l array<int>, m map<string,int>, r struct<p:string,q:int>")
     text = explore.table_text(df)
