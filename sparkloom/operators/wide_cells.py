@@ -67,18 +67,17 @@ def cells_of(rows: DataFrame, attributes: DataFrame, batch: Column | None = None
     """One row per input row that sets a cell: the entity, batch, attr_code, version, text, least, greatest."""
     at = F.date_trunc("month", F.col("loaded_at")) if batch is None else batch
     named = with_attribute(rows.select("row_id", *ENTITY, "variable", "value", "loaded_at", at.alias("_batch")), attributes)
-    text = canonical(F.col("value"), F.col("value_type"))
-    return named.select(
+    told = named.where(~is_missing(F.col("value")) & F.col("year").isNotNull() & (trimmed(F.col(ENTITY[1])) != "") & (trimmed(F.col(ENTITY[2])) != ""))
+    cells = told.select(
         F.col("year"),
         code_key(F.col("industry_code_anzsic")).alias("industry_code_anzsic"),
         code_key(F.col("rme_size_grp")).alias("rme_size_grp"),
         F.col("_batch").alias("batch"),
         "attr_code",
         F.struct(F.col("loaded_at").alias("at"), "row_id").alias("version"),
-        text.alias("text"),
-        text.alias("least"),
-        text.alias("greatest"),
-    ).where(F.col("text").isNotNull() & F.col("year").isNotNull() & F.col("industry_code_anzsic").isNotNull() & F.col("rme_size_grp").isNotNull())
+        canonical(F.col("value"), F.col("value_type")).alias("text"),
+    )
+    return cells.withColumns({"least": F.col("text"), "greatest": F.col("text")})  # a projection of its own, so the text is made once
 
 
 def _merged() -> list[Column]:
