@@ -77,21 +77,29 @@ def cells_of(rows: DataFrame, attributes: DataFrame, batch: Column | None = None
         F.struct(F.col("loaded_at").alias("at"), "row_id").alias("version"),
         canonical(F.col("value"), F.col("value_type")).alias("text"),
     )
-    return cells.withColumns({"least": F.col("text"), "greatest": F.col("text")})  # a projection of its own, so the text is made once
+    same = F.lit(None).cast("string")
+    return cells.withColumns({"least": same, "greatest": same})
 
 
-def _merged() -> list[Column]:
-    """Aggregates that merge cells: the text of the latest version, the range of values."""
-    return [
+def _merge(cells: DataFrame, *by: str) -> DataFrame:
+    """Merge cells: the text of the latest version, the range of values (null where it is the text itself)."""
+    merged = cells.groupBy(*by).agg(
         F.max(F.struct("version", "text")).alias("latest"),
-        F.min("least").alias("least"),
-        F.max("greatest").alias("greatest"),
-    ]
+        F.min(F.coalesce("least", "text")).alias("least"),
+        F.max(F.coalesce("greatest", "text")).alias("greatest"),
+    )
+    text = F.col("latest.text")
+    return merged.select(*by, F.col("latest.version").alias("version"), text.alias("text"), F.nullif(F.col("least"), text).alias("least"), F.nullif(F.col("greatest"), text).alias("greatest"))
+
+
+def differs() -> Column:
+    """Whether a merged cell was given different values."""
+    return F.col("least").isNotNull() | F.col("greatest").isNotNull()
 
 
 def deltas(cells: DataFrame) -> DataFrame:
     """Sparse wide deltas: per entity and batch a map from attr_code to its cell."""
-    per_cell = cells.groupBy(*ENTITY, "batch", "attr_code").agg(*_merged()).select(*ENTITY, "batch", "attr_code", "latest.*", "least", "greatest")
+    per_cell = _merge(cells, *ENTITY, "batch", "attr_code")
     return (
         per_cell.repartition(*[F.col(e) for e in ENTITY])
         .groupBy(*ENTITY, "batch")
@@ -100,9 +108,9 @@ def deltas(cells: DataFrame) -> DataFrame:
 
 
 def compact(runs: DataFrame) -> DataFrame:
-    """Merge runs of deltas (any union of them) cell by cell: the entity, attr_code, version, text, least, greatest."""
+    """Merge runs of deltas (any union of them) cell by cell: the entity, attr_code, version, text, least, greatest (null where they are the text)."""
     opened = runs.select(*ENTITY, F.explode("cells").alias("attr_code", "cell")).select(*ENTITY, "attr_code", "cell.*")
-    return opened.groupBy(*ENTITY, "attr_code").agg(*_merged()).select(*ENTITY, "attr_code", "latest.*", "least", "greatest")
+    return _merge(opened, *ENTITY, "attr_code")
 
 
 def as_run(compacted: DataFrame, batch: Column) -> DataFrame:
@@ -112,7 +120,7 @@ def as_run(compacted: DataFrame, batch: Column) -> DataFrame:
 
 def contradictions(compacted: DataFrame) -> DataFrame:
     """Cells that were given two or more different values."""
-    return compacted.where(F.col("least") != F.col("greatest")).select(*ENTITY, "attr_code")
+    return compacted.where(differs()).select(*ENTITY, "attr_code")
 
 
 def wide(compacted: DataFrame, attributes: DataFrame, limit: int = 5_000) -> DataFrame:
@@ -129,5 +137,5 @@ def wide(compacted: DataFrame, attributes: DataFrame, limit: int = 5_000) -> Dat
         F.max(F.when(F.col("attr_code") == r.attr_code, F.col("text"))).try_cast(types.get(r.value_type, "string")).alias(r.attr_code)
         for r in listed
     ]
-    differing = F.sort_array(F.collect_set(F.when(F.col("least") != F.col("greatest"), F.col("attr_code"))))
+    differing = F.sort_array(F.collect_set(F.when(differs(), F.col("attr_code"))))
     return compacted.groupBy(*ENTITY).agg(*columns, differing.alias("contradicted"))
