@@ -28,8 +28,8 @@ def leaves(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataType
     return out
 
 
-#: Distinct values of a column up to which its percentiles are taken from one map of values; beyond it from sorted parts.
-DISTINCT_IN_ONE_MAP = 1_000_000
+#: Distinct values of a column up to which its percentiles are taken from one list of counts; beyond it from sorted ranges.
+DISTINCT_IN_ONE_LIST = 50_000
 _PERCENTS = (25, 75, 90)
 
 
@@ -55,11 +55,22 @@ def exact_percentiles(df: DataFrame, column: Column, percents: tuple[int, ...] =
     return found or [None] * len(percents)
 
 
-def measures(df: DataFrame, accuracy: int | None = None, unique: bool = False, in_one_map: int = DISTINCT_IN_ONE_MAP) -> DataFrame:
+def counted_percentiles(df: DataFrame, paths: dict[int, str], percents: tuple[int, ...] = _PERCENTS) -> dict[int, list[float | None]]:
+    """Nearest-rank percentiles of columns with few distinct values, all in one pass over the counts of their values."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(p).cast("double").alias("x")) for i, p in paths.items()])
+    counted = df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("x").isNotNull()).groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("i")
+    placed = counted.withColumn("upto", F.sum("n").over(by.orderBy("x"))).withColumn("all", F.sum("n").over(by))
+    rank = [F.greatest(F.lit(1), F.ceil(F.col("all") * q / 100)) for q in percents]
+    got = placed.groupBy("i").agg(*[F.min(F.when(F.col("upto") >= r, F.col("x"))).alias(f"p{k}") for k, r in enumerate(rank)]).collect()
+    return {i: [None] * len(percents) for i in paths} | {r.i: [r[f"p{k}"] for k in range(len(percents))] for r in got}
+
+
+def measures(df: DataFrame, accuracy: int | None = None, unique: bool = False, in_one_list: int = DISTINCT_IN_ONE_LIST) -> DataFrame:
     """Unformatted measures, one row per field that has a value: field, count, mean, std, min, percentiles, max, unique.
 
     All fields are measured in one pass. Percentiles are nearest rank and exact, by a second pass; for columns with
-    more than about ``in_one_map`` distinct values by sorted ranges. With ``accuracy`` they are approximate, with
+    more than about ``in_one_list`` distinct values by sorted ranges. With ``accuracy`` they are approximate, with
     rank error 1/accuracy, in the first pass. Nulls don't count and arrays are left out. An empty table gives no rows.
     """
     none = F.lit(None)
@@ -70,11 +81,10 @@ def measures(df: DataFrame, accuracy: int | None = None, unique: bool = False, i
         percentiles = {i: [F.percentile_approx(F.col(p).cast("double"), q / 100, accuracy) for q in _PERCENTS] for i, p in numeric.items()}
     elif numeric:
         sizes = df.agg(*[F.approx_count_distinct(F.col(p)).alias(f"_{i}") for i, p in numeric.items()]).collect()[0]
+        few = {i: p for i, p in numeric.items() if sizes[f"_{i}"] <= in_one_list}
+        found = counted_percentiles(df, few) if few else {}
         for i, p in numeric.items():
-            if sizes[f"_{i}"] <= in_one_map:
-                percentiles[i] = [F.expr(f"percentile_disc({q / 100}) WITHIN GROUP (ORDER BY CAST({p} AS DOUBLE))") for q in _PERCENTS]
-            else:
-                percentiles[i] = [F.lit(v) for v in exact_percentiles(df, F.col(p))]
+            percentiles[i] = [F.lit(v) for v in (found[i] if i in found else exact_percentiles(df, F.col(p)))]
     aggregates, records = [], []
     for i, path, kind in fields:
         ordered = i in numeric or isinstance(kind, _ORDERED)

@@ -178,7 +178,7 @@ def test_percentiles_by_sorted_ranges(spark):
     values = sorted(r.x for r in df.collect())
     want = [float(values[-(-len(values) * q // 100) - 1]) for q in (25, 75, 90)]
     assert explore.exact_percentiles(df, F.col("x")) == want and explore.exact_percentiles(df, F.col("y")) == [None] * 3
-    both = [[r["percentile25"], r["percentile75"], r["percentile90"]] for limit in (1, 10**6) for r in explore.measures(df, in_one_map=limit).collect()]
+    both = [[r["percentile25"], r["percentile75"], r["percentile90"]] for limit in (1, 10**6) for r in explore.measures(df, in_one_list=limit).collect()]
     assert [[float(v) for v in b] for b in both] == [want, want]
 
 
