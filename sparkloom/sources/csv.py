@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.naming import Naming, literal
-from sparkloom.runtime import shared_dir
 from sparkloom.sources import files
 from sparkloom.sources.records import Leaf, Parser, decode, flat_columns, record
 
@@ -103,10 +102,10 @@ class Reader:
         return self.files(files.directory(root, pattern, max_depth))
 
     def url(self, url: str) -> DataFrame:
-        return self._one(files.fetched(url, files.local_folder(shared_dir(self.spark))))
+        return self._one(files.fetched(self.spark, url))
 
     def string(self, content: str) -> DataFrame:
-        return self._one(files.written(content, files.local_folder(shared_dir(self.spark))))
+        return self._one(files.written(self.spark, content))
 
 
 def read(spark: SparkSession, cls: Any, options: Options = DEFAULT) -> Reader:

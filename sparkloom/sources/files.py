@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import fnmatch
 import os
-import tempfile
 import urllib.request
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from sparkloom.runtime import shared_dir
+
 
 def directory(root: str, pattern: str = "*", max_depth: int = 20) -> list[str]:
     """Regular files below ``root`` whose full path matches the glob, in order of their path."""
@@ -35,20 +37,26 @@ def first_line(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def fetched(url: str, folder: str) -> str:
-    """A URL's content as a file in ``folder`` (shared by the executors on a cluster)."""
-    handle, path = tempfile.mkstemp(dir=folder)
-    with urllib.request.urlopen(url) as source, os.fdopen(handle, "wb") as target:
-        while chunk := source.read(1 << 20):
-            target.write(chunk)
-    return path
+def fetched(spark: SparkSession, url: str) -> str:
+    """A URL's content as a file in the shared folder."""
+    with urllib.request.urlopen(url) as source:
+        return _stored(spark, iter(lambda: source.read(1 << 20), b""))
+
 
+def written(spark: SparkSession, content: str | bytes) -> str:
+    """Text at hand as a file in the shared folder."""
+    return _stored(spark, iter([content.encode() if isinstance(content, str) else content]))
 
-def written(content: str | bytes, folder: str) -> str:
-    """Text at hand as a file in ``folder``."""
-    handle, path = tempfile.mkstemp(dir=folder)
-    with os.fdopen(handle, "wb") as target:
-        target.write(content.encode() if isinstance(content, str) else content)
+
+def _stored(spark: SparkSession, chunks: Iterator[bytes]) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/source-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    target = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)  # noqa: SLF001
+    try:
+        for chunk in chunks:
+            target.write(bytearray(chunk))
+    finally:
+        target.close()
     return path
 
 

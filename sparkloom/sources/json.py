@@ -9,7 +9,6 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import shared_dir
 from sparkloom.sources import files
 from sparkloom.sources.csv import _to
 from sparkloom.sources.records import spark_schema
@@ -27,11 +26,11 @@ def read_directory(spark: SparkSession, cls: Any, root: str, pattern: str = "*",
 
 
 def read_url(spark: SparkSession, cls: Any, url: str, lines: bool = True) -> DataFrame:
-    return read(spark, cls, files.fetched(url, files.local_folder(shared_dir(spark))), lines)
+    return read(spark, cls, files.fetched(spark, url), lines)
 
 
 def read_string(spark: SparkSession, cls: Any, content: str, lines: bool = True) -> DataFrame:
-    return read(spark, cls, files.written(content, files.local_folder(shared_dir(spark))), lines)
+    return read(spark, cls, files.written(spark, content), lines)
 
 
 def write(df: DataFrame, path: str, terminator: str = "\r\n", mode: str = "error") -> None:
