@@ -35,6 +35,8 @@ from sparkloom.runtime import cut
 
 #: Size of the hashed feature space and so of the model.
 BUCKETS = 1 << 18
+#: Texts whose passages are held at a time.
+TEXTS_AT_ONCE = 2_000
 ROUNDS = 8
 #: Relative change of the expected number of cases at which the rounds end.
 STANDSTILL = 1e-4
@@ -312,16 +314,18 @@ def feature_table(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = passage_features(batch["_text"].tolist())
-            keys = batch[key].to_numpy()
-            yield pd.DataFrame(
-                {
-                    key: pd.Series([keys[i] for i, _, _, _ in rows], dtype=batch[key].dtype),
-                    "passage": pd.Series([n for _, n, _, _ in rows], dtype="int32"),
-                    "features": pd.Series([f for _, _, f, _ in rows], dtype=object),
-                    "trusted": pd.Series([t for _, _, _, t in rows], dtype=bool),
-                }
-            )
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                part = batch.iloc[at : at + TEXTS_AT_ONCE]
+                rows = passage_features(part["_text"].tolist())
+                keys = part[key].to_numpy()
+                yield pd.DataFrame(
+                    {
+                        key: pd.Series([keys[i] for i, _, _, _ in rows], dtype=part[key].dtype),
+                        "passage": pd.Series([n for _, n, _, _ in rows], dtype="int32"),
+                        "features": pd.Series([f for _, _, f, _ in rows], dtype=object),
+                        "trusted": pd.Series([t for _, _, _, t in rows], dtype=bool),
+                    }
+                )
 
     chosen = documents.select(F.col(key), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.col("_text") != ""))
     return chosen.mapInPandas(make, f"`{key}` {kind}, passage int, features array<int>, trusted boolean")

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from sparkloom.runtime import cut
 
 K, W = 5, 6
+#: Texts whose words are held at a time.
+TEXTS_AT_ONCE = 2_000
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|\[/?(?:quote|b|i|u|s|url|img|code|color|size|font|list|spoiler)(?:=[^\]\n]*)?\]", re.IGNORECASE)
 # Code points of invisible characters, first and last.
@@ -89,8 +91,10 @@ def fingerprint_table(rows: DataFrame, key: str, text: str, k: int = K, w: int =
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, hashes, pos = fingerprints(batch["_text"].tolist(), k, w)
-            yield pd.DataFrame({key: batch[key].to_numpy()[owner], "hash": hashes, "pos": pos.astype(np.int32)})
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                part = batch.iloc[at : at + TEXTS_AT_ONCE]
+                owner, hashes, pos = fingerprints(part["_text"].tolist(), k, w)
+                yield pd.DataFrame({key: part[key].to_numpy()[owner], "hash": hashes, "pos": pos.astype(np.int32)})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(F.col(key), F.col(text).alias("_text")).where(F.col(key).isNotNull() & F.col("_text").isNotNull()).mapInPandas(make, f"`{key}` {kind}, hash long, pos int")
