@@ -97,23 +97,24 @@ def with_attribute(rows: DataFrame, attributes: DataFrame, variable: str = "vari
     """``rows`` that name an attribute, with attr_code, value_type, quantity, common_unit and the note behind the name.
 
     The attribute is the one with the same letters; if none has, the one with the same letters after a note
-    behind the name is cut off.
+    behind the name is cut off. A note of marks alone (``($)``) leaves the letters as they are and is read all the same.
     """
     named = attributes.select(
         letters_key(F.col("attr_name")).alias("_key"), F.struct("attr_code", "value_type", "quantity", "common_unit").alias("_attribute")
     ).where(F.col("_key") != "")
     start = F.regexp_extract(F.col(variable), rf"^(.*?)(?:{NOTE})", 1)
     note = F.regexp_extract(F.col(variable), rf"^.*?(?:{NOTE})(.*)$", 1)
+    marks = F.regexp_extract(F.col(variable), rf"^.*?(?:{NOTE})([^\p{{L}}]*)$", 1)
     whole, cut_off = named.withColumnsRenamed({"_key": "_k1", "_attribute": "_a1"}), named.withColumnsRenamed({"_key": "_k2", "_attribute": "_a2"})
     keep = [F.col(c) for c in rows.columns]
     return (
         rows.withColumn("_whole", letters_key(F.col(variable)))
         .join(whole, F.col("_whole") == F.col("_k1"), "left")
-        .withColumn("_cut", F.when(F.col("_a1").isNull(), letters_key(start)))  # notes are only looked for where needed
+        .withColumn("_cut", F.when(F.col("_a1").isNull(), letters_key(start)))  # names are only cut where needed
         .join(cut_off, F.col("_cut") == F.col("_k2"), "left")
         .withColumn("_attribute", F.coalesce("_a1", "_a2"))
         .where(F.col("_attribute").isNotNull())
-        .select(*keep, F.col("_attribute.*"), F.when(F.col("_a1").isNull(), F.trim(note)).alias("_note"))
+        .select(*keep, F.col("_attribute.*"), F.trim(F.when(F.col("_a1").isNull(), note).otherwise(marks)).alias("_note"))
     )
 
 

@@ -46,3 +46,21 @@ def test_unknown_empty_repeated_long_and_clashing(spark, attributes, units):
     assert harmonise(spark.createDataFrame([], ROW), attributes, units).count() == 0
     more = spark.createDataFrame([(1, "Waste dumped", "1", "kg", "a", "b", "c")], ROW + ", quantity string, alias string, unit_code string")
     assert harmonise(more, attributes, units).collect()[0].common_value == 0.001
+
+
+MARKS_ALONE = [
+    ("Staff cost ($)", "3000", None, ("DOL", "note", "ok", 3.0)), ("Staff cost [$]", "3000", "", ("DOL", "note", "ok", 3.0)), ("STAFF-COST; $", "3000", None, ("DOL", "note", "ok", 3.0)),
+    ("Staff cost - $", "3000", "see value", ("DOL", "note", "ok", 3.0)), ("Staff cost: [$]", "-3,000", None, ("DOL", "note", "ok", -3.0)), ("Staff cost ($000)", "3", None, ("KDOL", "note", "ok", 3.0)),
+    ("Staff cost ($)", "3", "thousand dollars", ("KDOL", "field", "ok", 3.0)), ("Staff cost ($)", "3k$", None, ("KDOL", "value", "ok", 3.0)), ("Staff cost ($)", "..", None, ("DOL", "note", "missing", None)),
+    ("Idle share (‰)", "85", None, ("PML", "note", "ok", 8.5)), ("Idle share [‰]", "85", None, ("PML", "note", "ok", 8.5)), ("Idle share; ‰", "85", None, ("PML", "note", "ok", 8.5)),
+    ("Idle share - ‰", "85", None, ("PML", "note", "ok", 8.5)), ("Idle share - %", "85", None, ("PCT", "note", "ok", 85.0)), ("Staff cost ()", "3", None, ("KDOL", "default", "ok", 3.0)),
+    ("Staff-cost", "3", None, ("KDOL", "default", "ok", 3.0)), ("Staff cost ($)", "3000", "furlongs", ("DOL", "note", "ok", 3.0)), ("Staff cost (‰)", "3000", None, (None, None, "unknown", None)),
+]
+
+
+def test_notes_of_marks_alone(spark, attributes, units):
+    attributes = attributes.union(spark.createDataFrame([("V5", "Idle share", "decimal", "share", "PCT")], attributes.schema))
+    units = units.union(spark.createDataFrame([("PCT", "percent", "share", 1.0, "PCT", 0.0), ("PML", "per mille", "share", 0.1, "PCT", 0.0)], units.schema))
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(MARKS_ALONE)], ROW)
+    got = {r.row_id: (r.unit_code, r.unit_from, r.unit_status, r.common_value if r.common_value is None else round(r.common_value, 9)) for r in harmonise(df, attributes, units).collect()}
+    assert got == {i: c[3] for i, c in enumerate(MARKS_ALONE)}
