@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import digests, packing, residue, winnowing
-from sparkloom.runtime import table
+from sparkloom.runtime import cut, table
 
 _GROUP = ["product_id", "period"]
 
@@ -54,12 +54,19 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, root: str) -> DataFrame:
-    """Quartiles and the 90th percentile of unit_price per product and month, with bounded and counted rank error."""
+    """Quartiles and the 90th percentile of unit_price per product and day or month, with bounded and counted rank error.
+
+    Days are digested once and merged into months.
+    """
     prices = _prices(spark, root)
-    monthly = digests.merge_digests(_months(digests.group_digests(prices, _GROUP, "unit_price")), _GROUP)
-    estimates = digests.percentiles(monthly, _GROUP, (25, 50, 75, 90))
-    counts = digests.counted_ranks(_months(prices), _GROUP, "unit_price", estimates, "estimate", [*_GROUP, "percent"])
-    return digests.certified(estimates, counts, _GROUP)
+    daily = cut(digests.group_digests(prices, _GROUP, "unit_price"))
+
+    def held(of: DataFrame, values: DataFrame) -> DataFrame:
+        estimates = cut(digests.percentiles(of, _GROUP, (25, 50, 75, 90)))
+        counts = digests.counted_ranks(values, _GROUP, "unit_price", estimates, "estimate", [*_GROUP, "percent"])
+        return digests.certified(estimates, counts, _GROUP)
+
+    return held(daily, prices).unionByName(held(digests.merge_digests(_months(daily), _GROUP), _months(prices)))
 
 
 def p7_pack(spark: SparkSession, root: str) -> DataFrame:

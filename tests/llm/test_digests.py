@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from sparkloom.llm import digests
+from sparkloom.llm import digests, queries
 
 SCHEMA = "id string, g string, v double"
 
@@ -88,3 +88,29 @@ def test_defined_results(spark):
     assert digests.group_digests(spark.createDataFrame([], SCHEMA), ["g"], "v").count() == 0
     more = spark.createDataFrame([("1", "a", 1.0, 7, 8, 9.0)], SCHEMA + ", mean int, weight int, least double")
     assert digests.group_digests(more, ["g"], "v").count() == 1
+
+
+def details(spark, root, prices):
+    """An order_detail table: (product_id, day of March 2024, unit_price) per row."""
+    rows = [(str(i), p, v, f"2024-03-{day:02d} 10:00:00") for i, (p, day, v) in enumerate(prices)]
+    df = spark.createDataFrame(rows, "id string, product_id bigint, unit_price double, loaded_at string")
+    df.withColumn("loaded_at", F.col("loaded_at").cast("timestamp")).write.parquet(f"{root}/order_detail.parquet")
+
+
+def test_days_and_months_come_out(spark, tmp_path):
+    rng = random.Random(10)
+    prices = [(p, day, float(rng.randint(1, 500))) for p in (1, 2) for day in range(1, 9) for _ in range(rng.randint(1, 40))]
+    details(spark, tmp_path, prices)
+    groups: dict = {}
+    for p, day, v in prices:
+        for period in (f"2024-03-{day:02d}", "2024-03"):
+            groups.setdefault((p, period), []).append(v)
+    got = queries.p5_percentiles(spark, str(tmp_path)).collect()
+    assert sorted((r.product_id, r.period, r.percent) for r in got) == sorted((*g, q) for g in groups for q in (25, 50, 75, 90))
+    for r in got:
+        vs = sorted(groups[r.product_id, r.period])
+        le, lt = ranks(vs, r.estimate)
+        rank = max(1, math.ceil(len(vs) * r.percent / 100))
+        assert r.n == len(vs) and r.rank_error == pytest.approx(max(0, rank - le, lt + 1 - rank) / len(vs)) and r.rank_error <= r.error_bound
+        if len(r.period) == 10:
+            assert r.estimate == vs[rank - 1] and r.error_bound == 0
