@@ -15,8 +15,9 @@ leaves a partition as about ``delta / 2`` centroids. What meets in one task to b
 times the partitions, not by the rows; no group is gathered raw. The counting pass is an equi-join on the group
 with counts combined before the shuffle.
 
-Defined results: null, NaN and infinite values and rows with a null group are left out; of rows with the same
-id one counts (the greatest by group and value); rows with a null id each count; ties share clusters and are
+Defined results: null and NaN values and rows with a null group are left out, and so are infinite values unless
+``infinite`` is set, in the digests and in the counting pass alike; then they are the extremes and share no centroid
+with finite ones; of rows with the same id one counts (the greatest by group and value); rows with a null id each count; ties share clusters and are
 exact in the rank bounds; an empty table gives no rows; other columns are ignored.
 """
 
@@ -60,7 +61,8 @@ def digest_frame(rows: pd.DataFrame, keys: list[str], delta: int) -> pd.DataFram
     n = np.repeat(np.add.reduceat(weight, first), size)
     middle = upto - np.repeat(upto[first] - weight[first], size) - weight / 2
     cluster = cluster_of(middle / n, delta)
-    cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (cluster[1:] != cluster[:-1])])
+    end = np.where(np.isinf(mean), np.sign(mean), 0)
+    cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (cluster[1:] != cluster[:-1]) | (end[1:] != end[:-1])])
     total = np.add.reduceat(weight, cut)
     out = rows[keys].iloc[order[cut]].reset_index(drop=True)
     return out.assign(
@@ -72,16 +74,23 @@ def digest_frame(rows: pd.DataFrame, keys: list[str], delta: int) -> pd.DataFram
     )
 
 
-def partial_digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DELTA, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+def _proper(values: DataFrame, value: str, infinite: bool) -> DataFrame:
+    """The rows whose value counts."""
+    x = F.col(value)
+    kept = values.where(x.isNotNull() & ~F.isnan(x))
+    return kept if infinite else kept.where(F.abs(x) != float("inf"))
+
+
+def partial_digests(
+    values: DataFrame, keys: Sequence[str], value: str, delta: int = DELTA, buffer_rows: int = BUFFER_ROWS, infinite: bool = False
+) -> DataFrame:
     """Digests of the parts of each group: keys, centroid.
 
     A buffer that is full is digested; its large groups stay in it as centroids and are digested again with what
     follows, so a partition gives off one digest of each; small groups leave with every buffer.
     """
     keys = list(keys)
-    kept = values.select(*keys, F.col(value).cast("double").alias("mean")).where(
-        F.col("mean").isNotNull() & ~F.isnan("mean") & (F.abs("mean") != float("inf"))
-    )
+    kept = _proper(values.select(*keys, F.col(value).cast("double").alias("mean")), "mean", infinite)
     for k in keys:
         kept = kept.where(F.col(k).isNotNull())
     schema = T.StructType(
@@ -120,7 +129,8 @@ def merge_digests(digests: DataFrame, keys: Sequence[str], delta: int = DELTA) -
         .withColumn("_below", F.sum("weight").over(sorted_by))
         .withColumn("_n", F.sum("weight").over(by))
         .withColumn("_k", k)
-        .groupBy(*keys, "_k")
+        .withColumn("_end", F.when(F.abs("mean") == float("inf"), F.signum("mean")).otherwise(0.0))
+        .groupBy(*keys, "_k", "_end")
         .agg(
             (F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"),
             F.sum("weight").alias("weight"),
@@ -131,9 +141,9 @@ def merge_digests(digests: DataFrame, keys: Sequence[str], delta: int = DELTA) -
     )
 
 
-def group_digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DELTA) -> DataFrame:
+def group_digests(values: DataFrame, keys: Sequence[str], value: str, delta: int = DELTA, infinite: bool = False) -> DataFrame:
     """One digest per group of a column."""
-    return merge_digests(partial_digests(values, keys, value, delta), keys, delta)
+    return merge_digests(partial_digests(values, keys, value, delta, infinite=infinite), keys, delta)
 
 
 def nearest_rank(n: Column, percent: int) -> Column:
@@ -182,14 +192,16 @@ def rank_bounds(digests: DataFrame, keys: Sequence[str], points: DataFrame, poin
     )
 
 
-def counted_ranks(values: DataFrame, keys: Sequence[str], value: str, points: DataFrame, point: str, by: Sequence[str]) -> DataFrame:
+def counted_ranks(
+    values: DataFrame, keys: Sequence[str], value: str, points: DataFrame, point: str, by: Sequence[str], infinite: bool = False
+) -> DataFrame:
     """The second pass: per point, identified by ``by``, the exact numbers n of values, at or below, below it.
 
-    Points may span several groups (a month its days): their rows share ``by``.
+    Points may span several groups (a month its days): their rows share ``by``. ``infinite`` is as for the digests.
     """
     x, v = F.col(point), F.col("_value")
     return (
-        values.select(*keys, F.col(value).alias("_value"))
+        _proper(values.select(*keys, F.col(value).cast("double").alias("_value")), "_value", infinite)
         .join(points.select(*dict.fromkeys([*keys, *by, point])).distinct(), list(keys))
         .groupBy(*by, point)
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(v <= x).alias("le"), F.count_if(v < x).alias("lt"))

@@ -37,7 +37,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
         .select("profile_id", *_GROUP, F.col("percentile25").try_cast("double").alias("point"))
         .where(F.col("point").isNotNull() & F.col("product_id").isNotNull() & F.col("period").isNotNull())
     )
-    daily = digests.group_digests(prices, _GROUP, "unit_price")
+    daily = digests.group_digests(prices, _GROUP, "unit_price", infinite=True)
     monthly = digests.merge_digests(_months(daily), _GROUP)
     monthly_profile = F.length("period") == 7
     bounds = digests.rank_bounds(daily, _GROUP, profiles.where(~monthly_profile), "point").unionByName(
@@ -49,7 +49,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     last = F.when(monthly_profile, F.last_day(first)).otherwise(first)
     by_day = doubtful.select("profile_id", "product_id", "point", F.explode(F.sequence(first, last)).alias("day"))
     by_day = by_day.select("profile_id", "product_id", "point", F.date_format("day", "yyyy-MM-dd").alias("period"))
-    counts = digests.counted_ranks(prices, _GROUP, "unit_price", by_day, "point", ["profile_id"])
+    counts = digests.counted_ranks(prices, _GROUP, "unit_price", by_day, "point", ["profile_id"], infinite=True)
     return counts.where((F.col("le") < low) | (F.col("lt") >= high)).select("profile_id").distinct()
 
 
@@ -59,11 +59,11 @@ def p5_percentiles(spark: SparkSession, root: str) -> DataFrame:
     Days are digested once and merged into months.
     """
     prices = _prices(spark, root)
-    daily = cut(digests.group_digests(prices, _GROUP, "unit_price"))
+    daily = cut(digests.group_digests(prices, _GROUP, "unit_price", infinite=True))
 
     def held(of: DataFrame, values: DataFrame) -> DataFrame:
         estimates = cut(digests.percentiles(of, _GROUP, (25, 50, 75, 90)))
-        counts = digests.counted_ranks(values, _GROUP, "unit_price", estimates, "estimate", [*_GROUP, "percent"])
+        counts = digests.counted_ranks(values, _GROUP, "unit_price", estimates, "estimate", [*_GROUP, "percent"], infinite=True)
         return digests.certified(estimates, counts, _GROUP)
 
     return held(daily, prices).unionByName(held(digests.merge_digests(_months(daily), _GROUP), _months(prices)))

@@ -114,3 +114,33 @@ def test_days_and_months_come_out(spark, tmp_path):
         assert r.n == len(vs) and r.rank_error == pytest.approx(max(0, rank - le, lt + 1 - rank) / len(vs)) and r.rank_error <= r.error_bound
         if len(r.period) == 10:
             assert r.estimate == vs[rank - 1] and r.error_bound == 0
+
+
+def test_infinite_prices_count_in_both_passes(spark, tmp_path):
+    rng, inf = random.Random(12), float("inf")
+    prices = [(1, 1 + i % 5, float(rng.randint(1, 500))) for i in range(3_000)] + [(1, 1 + i % 5, inf) for i in range(1_500)] + [(1, 1 + i % 5, -inf) for i in range(90)]
+    prices += [(2, 1, v) for v in (1.0, 2.0, inf, inf)] + [(3, 1, -inf), (3, 1, inf)]
+    details(spark, tmp_path, prices)
+    groups: dict = {}
+    for p, day, v in prices:
+        for period in (f"2024-03-{day:02d}", "2024-03"):
+            groups.setdefault((p, period), []).append(v)
+    got = queries.p5_percentiles(spark, str(tmp_path)).collect()
+    for r in got:
+        vs = groups[r.product_id, r.period]
+        le, lt = ranks(vs, r.estimate)
+        rank = max(1, math.ceil(len(vs) * r.percent / 100))
+        assert r.n == len(vs) and r.rank_error == pytest.approx(max(0, rank - le, lt + 1 - rank) / len(vs))
+        assert r.rank_error <= r.error_bound <= 0.03 and math.isinf(r.estimate) == math.isinf(sorted(vs)[rank - 1])
+    # the 25th percentile of the finite prices alone is too low a first quartile where infinite ones count
+    finite = sorted(v for p, _, v in prices if p == 1 and not math.isinf(v))
+    month, fine = sorted(groups[1, "2024-03"]), finite[len(finite) * 25 // 100]
+    points = [(1, 1, "2024-03", fine), (2, 1, "2024-03", month[len(month) * 25 // 100]), (3, 2, "2024-03-01", 1.0), (4, 2, "2024-03", inf)]
+    spark.createDataFrame([(i, p, period, "unitPrice", str(x)) for i, p, period, x in points], "profile_id bigint, product_id bigint, period string, field string, percentile25 string").write.parquet(f"{tmp_path}/row_description.parquet")
+    want = set()
+    for i, p, period, x in points:
+        vs = groups[p, period]
+        le, lt = ranks(vs, x)
+        if le < math.ceil(len(vs) * 0.2) or lt >= math.ceil(len(vs) * 0.3):
+            want.add(i)
+    assert want == {1, 4} and {r.profile_id for r in queries.p5_found(spark, str(tmp_path)).collect()} == want
