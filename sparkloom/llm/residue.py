@@ -2,7 +2,8 @@
 
 A record is cut down to its author's own text: quotes of others (bracket tags, blockquote tags, lines behind
 quote marks with their attribution), a signature behind a delimiter line, and what is shown as code are taken
-out. The own text falls into passages (sentences and lines). Passages that show the syntax of an unfilled
+out. A line of ``--`` begins a signature of any length; other delimiter lines (``---``, ``***``, ``___``) may also part a
+text, so they begin one of at most six lines, and what stands behind them in more is the author's own. The own text falls into passages (sentences and lines). Passages that show the syntax of an unfilled
 template, or speak as an error page, a filler or a script notice does, and in which no person speaks or asks,
 are the trusted positives. All others are unlabelled. A multinomial naive Bayes over hashed words and pairs of
 words starts with the unlabelled as negative; each round of expectation-maximization re-estimates both classes
@@ -49,6 +50,7 @@ THRESHOLD = 0.5
 _QUOTE_TAG = re.compile(r"\[(/?)(quote)(?:=[^\]\n]*)?\]|<(/?)(blockquote)\b[^>\n]*>", re.IGNORECASE)
 _ATTRIBUTION = re.compile(r"^[^\s>][^\n]{0,80}\b(?:wrote|writes|said|schrieb|a écrit|escribió):[ \t]*$")
 _SIGNATURE = re.compile(r"^(?:-{2,3}|~{3,}|_{3,}|={3,}|\*{3,})[ \t]*$")
+# Lines that may stand behind a delimiter that can also be a rule between parts of a text; behind "--" any number may.
 _SIGNATURE_LINES = 6
 _CODE = re.compile(r"<code\b[^>]*>.*?(?:</code>|\Z)|\[code\].*?(?:\[/code\]|\Z)|```.*?(?:```|\Z)|`[^`\n]*`", re.IGNORECASE | re.DOTALL)
 _BREAK = re.compile(r"<br\s*/?>|</?p>|</?div[^>]*>|\n", re.IGNORECASE)
@@ -179,8 +181,8 @@ def own_text(text: str | None) -> str:
     if not text:
         return ""
     lines = without_quotes(text).rstrip().split("\n")
-    for k in range(len(lines) - 1, max(-1, len(lines) - 2 - _SIGNATURE_LINES), -1):
-        if _SIGNATURE.match(lines[k]):
+    for k in range(len(lines) - 1, -1, -1):
+        if _SIGNATURE.match(lines[k]) if len(lines) - 1 - k <= _SIGNATURE_LINES else lines[k].rstrip(" \t") == "--":
             lines = lines[:k]
             break
     own = "\n".join(lines)

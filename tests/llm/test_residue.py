@@ -94,3 +94,12 @@ def test_defined_results(spark):
     assert residue.residue_records(spark.createDataFrame([(1, "plain talk about stoves")], DOC)).count() == 0
     clash = spark.createDataFrame([(1, "404 Not Found", 2.0, True, [1])], DOC + ", probability double, trusted boolean, features array<int>")
     assert residue.residue_records(clash).count() == 1
+
+
+def test_long_signatures():
+    behind = "\n".join(f"line {i}" for i in range(20))
+    assert residue.own_text(f"I sold it.\n--\n{behind}") == residue.own_text(f"I sold it.\n-- \n{behind}") == "I sold it."
+    assert residue.own_text(f"I sold it.\n--\n{behind}\n--\nend") == f"I sold it.\n--\n{behind}"
+    assert residue.own_text(f"Part one.\n***\n{behind}") == f"Part one.\n***\n{behind}"  # a rule between parts
+    assert residue.own_text("I sold it.\n***\nJo\nYork") == "I sold it."
+    assert residue.own_text("> --\n" + behind) == behind
