@@ -130,7 +130,7 @@ def string_expressions() -> Query:
         lambda s: {
             "id": s.id, "customer": F.upper(F.trim(s.customer_id)), "head": F.substring(s.ship_name, 1, 6), "n": F.length(s.ship_city).cast("bigint"),
             "palindrome": s.ship_city == F.reverse(s.ship_city), "address": F.regexp_replace(s.ship_address, "^([^0-9]*)[0-9]+", "$1#"),
-            "country": F.concat(F.upper(F.substring(s.ship_country, 1, 1)), F.substring(s.ship_country, 2, 1000)),
+            "country": F.concat(F.upper(F.substring(s.ship_country, 1, 1)), F.substr(s.ship_country, F.lit(2))),
         }
     )
 
