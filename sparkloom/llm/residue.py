@@ -55,14 +55,14 @@ ROUNDS = 40
 #: Relative change of the expected number of cases at which the rounds end.
 STANDSTILL = 1e-3
 #: Weight of an unlabelled passage's probability in the counts of the positive class.
-UNLABELLED_WEIGHT = 0.2
+UNLABELLED_WEIGHT = 0.35
 #: Share of all passages' words in a class's words, and least share of a class's words in those behind a word.
 WORD_SHARE, PAIR_SHARE = 0.1, 0.3
 #: Occurrences of a word, per passage of the class, at which the words behind it count half.
 HALF_KNOWN = 0.05
 #: Probability that a passage beside a residue passage is one, while the model learns.
 NEIGHBOUR = 0.3
-THRESHOLD = 0.5
+THRESHOLD = 0.9
 #: Bytes of tokens that a task of a round reads at least.
 TASK_BYTES = 1 << 28
 
