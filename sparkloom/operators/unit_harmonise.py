@@ -1,15 +1,20 @@
 """Quantities recorded in different units: every value in the common unit of its attribute, in plain SQL.
 
-The number and the unit text are extracted by regular expressions, unit texts are brought to one spelling and
+The number and the unit text are extracted by a regular expression, unit texts are brought to one spelling and
 joined to an alias table, and the unit is the first that is known of: the unit field, the text around the
 number, the note behind the variable's name, the source's default (the common unit). The value is then
-``number * factor + offset``. Only joins with the small reference tables are involved; Spark broadcasts them
-by their size, there is no shuffle of the rows.
+``number * factor + offset``. Spellings are composed: every name of a unit also stands with words of scale on
+either side (``k$``, ``persons (thousands)``, ``Dollars x 1,000``), which name the unit whose factor is that many times greater.
+
+Scale: the names of attributes and their notes are read from the distinct texts of the variable column alone, which
+are written to the shared folder when the query is built (a stream reads them row by row). Only joins with these and the reference tables
+are involved; Spark broadcasts them by their size, and as long as it does there is no shuffle of the rows.
 
 Defined results: a variable that names no attribute, or one that is not decimal, gives no row; null and marked
 values give a null ``common_value`` with ``unit_status`` ``missing``; a unit text that no alias knows, or whose
-quantity is another than the attribute's, gives ``unknown`` and a null ``common_value``; repeated rows come
-out as often as they go in; other columns are ignored.
+quantity is another than the attribute's, gives ``unknown`` and a null ``common_value``; of attributes whose names
+have the same letters the one with the least code counts; repeated rows come out as often as they go in; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,43 +22,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import BLANK, NUMBER, is_missing, letters_key, number_in
-from sparkloom.runtime import broadcast_within
-
-# Spellings of units by unit code, as they are written in unit fields, values and notes.
-UNIT_SPELLINGS = {
-    "KDOL": ["thousand dollars", "$000", "k$", "$k", "$ thou.", "dollars (thousands)", "DOLLARS_THOUSANDS", "Dollars x 1,000", "000 dollars", "thousands of dollars", "000 $"],
-    "DOL": ["dollars", "dollar", "$", "whole dollars", "DOLLARS (units)", "DOLLARS_UNITS"],
-    "MDOL": ["million dollars", "$m", "M$", "$ mil.", "mil. $", "Dollars (millions)", "DOLLARS_MILLIONS", "Dollars x 1,000,000", "millions of dollars", "$ million", "$mn"],
-    "BDOL": ["billion dollars", "$bn", "bn $", "$b", "Dollars (billions)", "DOLLARS_BILLIONS", "Dollars x 1,000,000,000", "$ bil.", "bil. $", "billions of dollars"],
-    "T": ["tonnes", "tonne", "t", "metric tons", "metric ton"],
-    "KG": ["kilograms", "kilogram", "kg", "kgs", "kilos", "kilo"],
-    "KT": ["kilotonnes", "kilotonne", "kt", "thousand tonnes", "tonnes (thousands)", "000 tonnes", "000 t"],
-    "LB": ["pounds", "pound", "lb", "lbs"],
-    "HA": ["hectares", "hectare", "ha"],
-    "ACRE": ["acres", "acre", "ac"],
-    "SQKM": ["square kilometres", "square kilometre", "km2", "km²", "sq km"],
-    "SQM": ["square metres", "square metre", "m2", "m²", "sq m"],
-    "MWH": ["megawatt hours", "megawatt hour", "Megawatt-hours", "MWh"],
-    "KWH": ["kilowatt hours", "kilowatt hour", "kWh"],
-    "GWH": ["gigawatt hours", "gigawatt hour", "GWh"],
-    "GJ": ["gigajoules", "gigajoule", "GJ"],
-    "TJ": ["terajoules", "terajoule", "TJ"],
-    "KM": ["kilometres", "kilometre", "km"],
-    "MI": ["miles", "mile", "mi"],
-    "KKM": ["thousand kilometres", "thousand km", "km (thousands)", "kilometres (thousands)", "000 km"],
-    "CUM": ["cubic metres", "cubic metre", "m3", "m³", "cu m"],
-    "LTR": ["litres", "litre", "ltr", "L"],
-    "MLT": ["megalitres", "megalitre", "ML", "million litres"],
-    "PERS": ["persons", "person", "people", "number", "headcount", "count"],
-    "KPERS": ["thousand persons", "thousand people", "persons (thousands)", "people (thousands)", "000 people", "000 persons"],
+from sparkloom.functions.text import BLANK, BLANKS, is_missing, letters_key, number_of, number_parts
+from sparkloom.runtime import cut
+
+# Names of units by unit code, in singular or plural where both end alike but for an s.
+UNIT_NAMES = {
+    "DOL": ["dollar", "dollars", "$", "whole dollars", "dollars (units)"],
+    "KDOL": ["$ thou.", "k$", "$k"],
+    "MDOL": ["$ mil.", "mil. $", "m$", "$m", "mn $", "$mn"],
+    "BDOL": ["$ bil.", "bil. $", "b$", "$b", "bn $", "$bn"],
+    "T": ["tonne", "tonnes", "t", "metric ton", "metric tons"],
+    "KT": ["kilotonne", "kilotonnes", "kt"],
+    "KG": ["kilogram", "kilograms", "kg", "kgs", "kilo", "kilos"],
+    "LB": ["pound", "pounds", "lb", "lbs"],
+    "HA": ["hectare", "hectares", "ha"],
+    "ACRE": ["acre", "acres", "ac"],
+    "SQKM": ["square kilometre", "square kilometres", "km2", "km²", "sq km"],
+    "SQM": ["square metre", "square metres", "m2", "m²", "sq m"],
+    "KWH": ["kilowatt hour", "kilowatt hours", "kWh"],
+    "MWH": ["megawatt hour", "megawatt hours", "MWh"],
+    "GWH": ["gigawatt hour", "gigawatt hours", "GWh"],
+    "GJ": ["gigajoule", "gigajoules", "GJ"],
+    "TJ": ["terajoule", "terajoules", "TJ"],
+    "KM": ["kilometre", "kilometres", "km"],
+    "MI": ["mile", "miles", "mi"],
+    "CUM": ["cubic metre", "cubic metres", "m3", "m³", "cu m"],
+    "LTR": ["litre", "litres", "ltr", "L"],
+    "MLT": ["megalitre", "megalitres", "ML"],
+    "PERS": ["person", "persons", "people", "number", "headcount", "count"],
     "PCT": ["percent", "per cent", "percentage", "pct", "%"],
     "FRAC": ["fraction", "proportion", "share of 1", "of 1", "ratio (0-1)", "ratio"],
     "PML": ["per mille", "per thousand", "‰"],
-    "BP": ["basis points", "basis point", "bp", "bps"],
-    "HR": ["hours", "hour", "hrs", "hr", "h"],
-    "MIN": ["minutes", "minute", "mins", "min"],
-    "DAYS": ["days", "day", "d"],
+    "BP": ["basis point", "basis points", "bp", "bps"],
+    "HR": ["hour", "hours", "hr", "hrs", "h"],
+    "MIN": ["minute", "minutes", "min", "mins"],
+    "DAYS": ["day", "days", "d"],
+}
+
+# Words of scale.
+SCALES = {
+    1e3: ["thousand", "thousands", "thousands of", "thou", "000", "'000", "x 1,000"],
+    1e6: ["million", "millions", "millions of", "mil", "mn", "000,000", "x 1,000,000"],
+    1e9: ["billion", "billions", "billions of", "bil", "bn", "000,000,000", "x 1,000,000,000"],
 }
 
 # Texts of a unit field that name no unit.
@@ -64,44 +74,66 @@ NOTE = rf"{BLANK}*[;\[(]{BLANK}*|,{BLANK}*in{BLANK}+|{BLANK}+-{BLANK}*|-{BLANK}+
 
 
 def unit_spelling(c: Column) -> Column:
-    """One spelling of a unit text: case, blanks, brackets, points, commas, hyphens and raised digits don't count."""
-    plain = F.translate(F.lower(c), "²³_-()[] .,", "23       ")  # the last two marks map to nothing
-    return F.trim(F.regexp_replace(plain, rf"{BLANK}+", " "))
+    """One spelling of a unit text: case, blanks, brackets, points, commas, hyphens, quote marks and raised digits don't count."""
+    return F.translate(F.lower(c), "²³_-()[].,+'" + BLANKS, "23")  # the other marks map to nothing
 
 
-def alias_table(units: DataFrame, spellings: dict[str, list[str]] | None = None) -> DataFrame:
-    """alias, unit_code, unit_quantity, factor, offset: spellings and the names and codes of the reference itself.
+def alias_table(units: DataFrame, names: dict[str, list[str]] | None = None, scales: dict[float, list[str]] | None = None) -> DataFrame:
+    """alias, unit_quantity, unit_code, factor, offset: names of units, also with words of scale, and the names and codes of the reference itself.
 
-    An optional column ``offset_to_common`` of ``units`` serves scales with another zero.
+    A name as such goes before one with a word of scale. An optional column ``offset_to_common`` of ``units`` serves
+    scales with another zero.
     """
     spark = units.sparkSession
-    listed = [(code, s) for code, texts in (spellings or UNIT_SPELLINGS).items() for s in texts]
-    given = spark.createDataFrame(listed, "unit_code string, text string")
-    own = units.select("unit_code", F.explode(F.array("unit_code", "unit_name")).alias("text"))
+    given = spark.createDataFrame([(code, t) for code, texts in (UNIT_NAMES if names is None else names).items() for t in texts], "unit_code string, text string")
+    composed = [
+        (code, scale, text)
+        for code, texts in (UNIT_NAMES if names is None else names).items()
+        for scale, words in (SCALES if scales is None else scales).items()
+        for t in texts
+        for w in words
+        for text in (w + t, t + w)
+    ]
     offset = F.col("offset_to_common") if "offset_to_common" in units.columns else F.lit(0.0)
-    facts = units.select(
-        "unit_code", F.col("quantity").alias("unit_quantity"), F.col("factor_to_common").alias("factor"), offset.alias("offset")
+    facts = units.select("unit_code", F.col("quantity").alias("unit_quantity"), F.col("factor_to_common").alias("factor"), offset.alias("offset"))
+    own = units.select("unit_code", F.explode(F.array("unit_code", "unit_name")).alias("text"))
+    plain = given.unionByName(own).join(facts, "unit_code").select("text", F.lit(0).alias("scaled"), "unit_code", "unit_quantity", "factor", "offset")
+    larger = facts.withColumnsRenamed({"unit_code": "_code", "unit_quantity": "_quantity", "factor": "_factor", "offset": "_offset"})
+    times = F.col("_factor") / F.col("factor") / F.col("scale")
+    scaled = (
+        spark.createDataFrame(composed, "unit_code string, scale double, text string")
+        .join(facts, "unit_code")
+        .join(larger, (F.col("unit_quantity") == F.col("_quantity")) & (F.col("offset") == 0) & (F.col("_offset") == 0) & times.between(1 - 1e-9, 1 + 1e-9))
+        .select("text", F.lit(1).alias("scaled"), F.col("_code").alias("unit_code"), "unit_quantity", F.col("_factor").alias("factor"), "offset")
     )
     return (
-        given.unionByName(own)
-        .select("unit_code", unit_spelling(F.col("text")).alias("alias"))
+        plain.unionByName(scaled)
+        .select(unit_spelling(F.col("text")).alias("alias"), "scaled", "unit_code", "unit_quantity", "factor", "offset")
         .where(F.col("alias").isNotNull())
-        .join(facts, "unit_code")
         .groupBy("alias", "unit_quantity")
-        .agg(F.min(F.struct("unit_code", "factor", "offset")).alias("u"))
-        .select("alias", "unit_quantity", "u.*")
+        .agg(F.min(F.struct("scaled", "unit_code", "factor", "offset")).alias("u"))
+        .select("alias", "unit_quantity", "u.unit_code", "u.factor", "u.offset")
     )
 
 
 def with_attribute(rows: DataFrame, attributes: DataFrame, variable: str = "variable") -> DataFrame:
-    """``rows`` that name an attribute, with attr_code, value_type, quantity, common_unit and the note behind the name.
+    """``rows`` that name an attribute, with attr_code, value_type, quantity, common_unit and _note, the note behind the name.
 
     The attribute is the one with the same letters; if none has, the one with the same letters after a note
     behind the name is cut off. A note of marks alone (``($)``) leaves the letters as they are and is read all the same.
     """
-    named = attributes.select(
-        letters_key(F.col("attr_name")).alias("_key"), F.struct("attr_code", "value_type", "quantity", "common_unit").alias("_attribute")
-    ).where(F.col("_key") != "")
+    if rows.isStreaming:
+        return _named(rows, attributes, variable)
+    texts = cut(_named(rows.select(F.col(variable).alias("_variable")).where(F.col(variable).isNotNull()).distinct(), attributes, "_variable"))
+    return rows.join(texts, F.col(variable) == F.col("_variable")).drop("_variable")
+
+
+def _named(rows: DataFrame, attributes: DataFrame, variable: str) -> DataFrame:
+    named = (
+        attributes.groupBy(letters_key(F.col("attr_name")).alias("_key"))
+        .agg(F.min(F.struct("attr_code", "value_type", "quantity", "common_unit")).alias("_attribute"))
+        .where(F.col("_key") != "")
+    )
     start = F.regexp_extract(F.col(variable), rf"^(.*?)(?:{NOTE})", 1)
     note = F.regexp_extract(F.col(variable), rf"^.*?(?:{NOTE})(.*)$", 1)
     marks = F.regexp_extract(F.col(variable), rf"^.*?(?:{NOTE})([^\p{{L}}]*)$", 1)
@@ -110,7 +142,7 @@ def with_attribute(rows: DataFrame, attributes: DataFrame, variable: str = "vari
     return (
         rows.withColumn("_whole", letters_key(F.col(variable)))
         .join(whole, F.col("_whole") == F.col("_k1"), "left")
-        .withColumn("_cut", F.when(F.col("_a1").isNull(), letters_key(start)))  # names are only cut where needed
+        .withColumn("_cut", F.when(F.col("_a1").isNull(), letters_key(start)))
         .join(cut_off, F.col("_cut") == F.col("_k2"), "left")
         .withColumn("_attribute", F.coalesce("_a1", "_a2"))
         .where(F.col("_attribute").isNotNull())
@@ -118,15 +150,8 @@ def with_attribute(rows: DataFrame, attributes: DataFrame, variable: str = "vari
     )
 
 
-def value_parts(value: Column) -> Column:
-    """The text around the first number of a value, as one unit text: ``$5.2k`` gives ``$k``."""
-    before = F.regexp_extract(value, rf"^(.*?)(?:{NUMBER})", 1)
-    behind = F.regexp_extract(value, rf"(?s)^.*?(?:{NUMBER})(.*)\z", 1)
-    return F.concat(F.regexp_replace(before, r"[\s+-]", ""), F.regexp_replace(behind, r"^[\s]+|[\s]+\z", ""))
-
-
 def harmonise(
-    rows: DataFrame, attributes: DataFrame, units: DataFrame, spellings: dict[str, list[str]] | None = None, keep: tuple[str, ...] = ("row_id",)
+    rows: DataFrame, attributes: DataFrame, units: DataFrame, names: dict[str, list[str]] | None = None, keep: tuple[str, ...] = ("row_id",)
 ) -> DataFrame:
     """Per row of a decimal attribute: the number, the unit it was recorded in and the value in the common unit.
 
@@ -138,12 +163,14 @@ def harmonise(
     texts = decimals.select(
         *keep, "attr_code", "quantity", "common_unit", "value",
         is_missing(F.col("value")).alias("_missing"),
-        number_in(F.col("value")).alias("number"),
+        number_parts(F.col("value")).alias("_parts"),
         F.col("unit").alias("_field"),
         "_note",
     )
-    alias = broadcast_within(alias_table(units, spellings))
-    sources = {"field": F.col("_field"), "value": value_parts(F.col("value")), "note": F.col("_note")}
+    texts = texts.withColumn("number", number_of(F.col("_parts")))
+    alias = cut(alias_table(units, names))
+    parts = F.when(F.size("_parts") == 3, F.concat(F.get("_parts", F.lit(0)), F.get("_parts", F.lit(2))))  # ``$5.2k`` gives ``$k``
+    sources = {"field": F.col("_field"), "value": parts, "note": F.col("_note")}
     common = units.select(F.col("unit_code").alias("_default"), F.col("quantity").alias("_q_default"), F.col("factor_to_common").alias("_f"),
                           (F.col("offset_to_common") if "offset_to_common" in units.columns else F.lit(0.0)).alias("_o")).dropDuplicates(["_default", "_q_default"])
     found = F.lit(False)
@@ -171,7 +198,7 @@ def harmonise(
 
 def unit_spellings_of_none() -> list[str]:
     """``NO_UNIT`` as ``unit_spelling`` leaves them."""
-    return sorted({"", *(t.replace("-", "").replace(".", "").strip() for t in NO_UNIT)})
+    return sorted({"", *(t.translate(str.maketrans("", "", "-. ")) for t in NO_UNIT)})
 
 
 def in_other_unit(harmonised: DataFrame, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:

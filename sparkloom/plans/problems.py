@@ -150,32 +150,38 @@ judged AS (SELECT r.id, r.field_name, r.key, r.t, count(s.key) AS n, min(s.f) AS
 orphans AS (SELECT *, CASE WHEN n = 0 THEN 'missing' WHEN t < f THEN 'later' ELSE 'deleted' END AS kind FROM judged WHERE NOT live)"""
 
 
-def _p6_sql(tail: str) -> str:
-    def spelled(x: str) -> str:
-        return f"trim(regexp_replace(translate(lower({x}), '²³_-()[].,', '23      '), '\\s+', ' ', 'g'))"
+# For the SQL, per quantity and unit code what its texts look like in lower case without blanks, the first that fits.
+_UNIT_PATTERNS = {
+    "money": {"BDOL": r"bil|bn|\$b|b\$|1,000,000,000", "MDOL": r"mil|mn|\$m|m\$|1,000,000", "KDOL": r"thou|000|k", "DOL": r"dol|\$"},
+    "mass": {"KT": r"kilotonne|^kt$|thousand|000", "KG": r"kilo|kg", "LB": r"pound|lb", "T": r"ton|^t$"},
+    "area": {"SQKM": r"km|kilomet", "SQM": r"sq.*met|^m[2²]$|sqm$", "HA": r"hect|^ha$", "ACRE": r"acre|^ac$"},
+    "energy": {"MWH": r"mega|^mwh$", "KWH": r"kilo|^kwh$", "GWH": r"gigaw|^gwh$", "GJ": r"gigaj|^gj$", "TJ": r"tera|^tj$"},
+    "distance": {"KKM": r"thousand|000", "KM": r"km|kilom", "MI": r"mi"},
+    "volume": {"MLT": r"mega|^ml$|million", "LTR": r"lit|ltr|^l$", "CUM": r"cu|m[3³]"},
+    "persons": {"KPERS": r"thousand|000", "PERS": r"pers|people|number|count"},
+    "share": {"PML": r"mille|thousand|‰", "BP": r"basis|^bps?$", "FRAC": r"frac|prop|of1|ratio", "PCT": r"cent|pct|%"},
+    "time": {"MIN": r"min", "DAYS": r"day|^d$", "HR": r"h"},
+}
 
-    def quoted(x: str) -> str:
-        return "'" + x.replace("'", "''") + "'"
 
-    rows = ", ".join(f"({quoted(code)}, {quoted(s)})" for code, texts in unit_harmonise.UNIT_SPELLINGS.items() for s in texts)
-    note = r"(?:\s*[;\[(]\s*|,\s*in\s+|\s+-\s*|-\s+)"
+def _p6_sql(tail: str) -> str:
+    def unit_of(text: str) -> str:
+        squeezed = rf"regexp_replace(lower({text}), '[\s\p{{Z}}()\[\]]', '', 'g')"
+        cases = " ".join(f"WHEN quantity = '{q}' AND regexp_matches({squeezed}, '{p}') THEN '{code}'" for q, units in _UNIT_PATTERNS.items() for code, p in units.items())
+        return f"CASE {cases} END"
+
     return rf"""WITH
-al AS (SELECT DISTINCT {spelled("text")} AS alias, u.unit_code, u.quantity, u.factor_to_common AS factor
-       FROM (SELECT * FROM (VALUES {rows}) v(unit_code, text) UNION ALL SELECT unit_code, unit_code FROM unit_reference UNION ALL SELECT unit_code, unit_name FROM unit_reference) n
-       JOIN unit_reference u USING (unit_code)),
 a AS (SELECT *, regexp_replace(lower(attr_name), '[^\p{{L}}]+', '', 'g') AS k FROM survey_attribute),
-e AS (SELECT *, regexp_replace(lower(variable), '[^\p{{L}}]+', '', 'g') AS whole,
-             regexp_replace(lower(regexp_replace(variable, '{note}.*$', '')), '[^\p{{L}}]+', '', 'g') AS cut FROM enterprise_survey),
-m AS (SELECT e.row_id, a.attr_code, a.common_unit, a.quantity, e.value,
-             CASE WHEN e.value IS NULL OR upper(trim(e.value)) IN ('', 'C', 'S', '..', 'N/A') THEN NULL ELSE
-               TRY_CAST(replace(regexp_extract(e.value, '{_NUM}'), ',', '') AS DOUBLE) * CASE WHEN regexp_matches(e.value, '^\s*-[^0-9.]') THEN -1 ELSE 1 END END AS number,
-             {spelled("e.unit")} AS u1,
-             {spelled(rf"regexp_replace(regexp_extract(e.value, '^(.*?)(?:{_NUM})', 1), '[\s+-]', '', 'g') || regexp_extract(e.value, '^.*?(?:{_NUM})(.*)$', 1)")} AS u2,
-             CASE WHEN a.k = e.whole THEN '' ELSE {spelled(rf"regexp_extract(e.variable, '{note}(.*)$', 1)")} END AS u3
-      FROM e JOIN a ON a.k = e.whole OR (a.k = e.cut AND e.whole NOT IN (SELECT k FROM a)) WHERE a.value_type = 'decimal'),
-j AS (SELECT m.*, coalesce(x1.unit_code, x2.unit_code, x3.unit_code, m.common_unit) AS unit_code, coalesce(x1.factor, x2.factor, x3.factor, 1.0) AS factor
-      FROM m LEFT JOIN al x1 ON x1.alias = u1 AND x1.quantity = m.quantity LEFT JOIN al x2 ON x2.alias = u2 AND x2.quantity = m.quantity
-             LEFT JOIN al x3 ON x3.alias = u3 AND x3.quantity = m.quantity)
+v AS (SELECT DISTINCT variable, regexp_extract(variable, '^(.*?)(?:\s*[;\[(]\s*|,\s*in\s+|\s+-\s*|-\s+)(.*)$', ['name', 'note']) AS p FROM enterprise_survey),
+n AS (SELECT v.variable, a.attr_code, a.common_unit, a.quantity,
+             CASE WHEN regexp_replace(lower(v.variable), '[^\p{{L}}]+', '', 'g') = a.k AND regexp_matches(p.note, '\p{{L}}') THEN '' ELSE p.note END AS note
+      FROM v JOIN a ON a.k = coalesce((SELECT k FROM a b WHERE b.k = regexp_replace(lower(v.variable), '[^\p{{L}}]+', '', 'g')), regexp_replace(lower(p.name), '[^\p{{L}}]+', '', 'g'))
+      WHERE a.value_type = 'decimal'),
+m AS (SELECT e.row_id, n.*, e.value, e.unit, coalesce(upper(trim(e.value)) IN ('', 'C', 'S', '..', 'N/A'), true) AS missing,
+             regexp_extract(e.value, '^(.*?)({_NUM})(.*)$', ['before', 'number', 'behind']) AS x FROM enterprise_survey e JOIN n USING (variable)),
+t AS (SELECT *, CASE WHEN NOT missing THEN TRY_CAST(replace(x.number, ',', '') AS DOUBLE) * CASE WHEN starts_with(ltrim(x.before), '-') THEN -1 ELSE 1 END END AS number,
+             coalesce({unit_of("unit")}, {unit_of("x.before || x.behind")}, {unit_of("note")}, common_unit) AS unit_code FROM m),
+j AS (SELECT t.*, u.factor_to_common AS factor FROM t JOIN unit_reference u USING (unit_code, quantity))
 {tail}"""
 
 
@@ -192,6 +198,6 @@ SQL = {
     "p4_found": f"WITH {_P4.strip()} SELECT DISTINCT id AS detail_id, field_name, kind FROM orphans",
     "p4_report": f"""WITH {_P4.strip()} SELECT 'order_detail' AS table_name, CAST(date_trunc('month', t) AS DATE) AS period, field_name, kind, false AS inherited,
         count(*) AS orphan_references, count(DISTINCT id) AS orphan_records FROM orphans GROUP BY ALL""",
-    "p6_found": _p6_sql("SELECT row_id FROM j WHERE value IS NOT NULL AND upper(trim(value)) NOT IN ('', 'C', 'S', '..', 'N/A') AND unit_code <> common_unit"),
+    "p6_found": _p6_sql("SELECT row_id FROM j WHERE NOT missing AND unit_code <> common_unit"),
     "p6_values": _p6_sql("SELECT row_id, attr_code, round(number * factor, 6) AS common_value, common_unit FROM j"),
 }

@@ -1,15 +1,12 @@
-"""Session helpers: tables, durable cuts of lineage, size-checked broadcasts."""
+"""Session helpers: tables, durable cuts of lineage."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows that a side may have at most to be broadcast by hint; beyond it Spark picks the join.
-BROADCAST_ROWS = 20_000
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -20,17 +17,27 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local test session) a folder of this process is made and used.
+    Only where that is unset and the executors live in this process (a local test session) a folder of this
+    process is made and used; on a cluster without the setting this is an error.
     """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if known is None:
+        if re.fullmatch(r"local(\[[^\]]*\])?", sc.master) is None:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="sparkloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
     return known
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted by ``drop_cuts``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder and go on from those files.
 
@@ -38,9 +45,8 @@ def cut(df: DataFrame) -> DataFrame:
     planned on true sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,13 +54,8 @@ _written: list[str] = []
 
 
 def drop_cuts(spark: SparkSession) -> None:
-    """Delete what ``cut`` has written in this process, once no DataFrame built on it is needed any more."""
+    """Delete what this process has written to the shared folder, once no DataFrame built on it is needed any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
     while _written:
         path = hadoop(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
-
-
-def broadcast_within(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``df`` is counted to have at most ``rows`` rows; else leave it to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

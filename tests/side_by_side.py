@@ -1,4 +1,4 @@
-"""Run queries beside their SQL twins: python tests/compare.py SF [NAME...]."""
+"""Run queries beside their SQL twins: python tests/side_by_side.py SF [NAME...]."""
 
 from __future__ import annotations
 

@@ -1,5 +1,6 @@
 import pytest
-from sparkloom.operators.unit_harmonise import harmonise, in_other_unit
+from pyspark.sql import functions as F
+from sparkloom.operators.unit_harmonise import alias_table, harmonise, in_other_unit, unit_spelling
 
 ROW = "row_id bigint, variable string, value string, unit string"
 
@@ -64,3 +65,23 @@ def test_notes_of_marks_alone(spark, attributes, units):
     df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(MARKS_ALONE)], ROW)
     got = {r.row_id: (r.unit_code, r.unit_from, r.unit_status, r.common_value if r.common_value is None else round(r.common_value, 9)) for r in harmonise(df, attributes, units).collect()}
     assert got == {i: c[3] for i, c in enumerate(MARKS_ALONE)}
+
+
+def test_names_with_words_of_scale(spark, attributes):
+    units = spark.createDataFrame(
+        [("KDOL", "thousand dollars", "money", 1.0, "KDOL"), ("DOL", "dollars", "money", 0.001, "KDOL"), ("MDOL", "million dollars", "money", 1000.0, "KDOL"), ("T", "tonnes", "mass", 1.0, "T"), ("KT", "kilotonnes", "mass", 1000.0, "T")],
+        "unit_code string, unit_name string, quantity string, factor_to_common double, common_unit string",
+    )
+    known = {(r.alias, r.unit_quantity): r.unit_code for r in alias_table(units).collect()}
+    cases = {
+        "money": {"$000": "KDOL", "'000 $": "KDOL", "Dollars x 1,000": "KDOL", "thousands of dollars": "KDOL", "DOLLARS_THOUSANDS": "KDOL", "$ thou.": "KDOL", "millions of $": "MDOL", "Dollar (mil.)": "MDOL", "billion dollars": None},
+        "mass": {"tonnes (thousands)": "KT", "000 t": "KT", "thousand metric tons": "KT", "million tonnes": None},
+    }
+    spelled = spark.createDataFrame([(q, t) for q, texts in cases.items() for t in texts], "q string, t string")
+    assert {(r.q, r.t): known.get((r.s, r.q)) for r in spelled.select("q", "t", unit_spelling(F.col("t")).alias("s")).collect()} == {(q, t): c for q, texts in cases.items() for t, c in texts.items()}
+
+
+def test_attributes_of_the_same_letters(spark, attributes, units):
+    twice = attributes.union(spark.createDataFrame([("V0", "staff-COST", "decimal", "money", "KDOL")], attributes.schema))
+    df = spark.createDataFrame([(1, "Staff cost", "5", "$")], ROW)
+    assert [r.attr_code for r in harmonise(df, twice, units).collect()] == ["V0"]
