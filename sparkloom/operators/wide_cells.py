@@ -1,14 +1,14 @@
 """Attribute-value rows into wide tables by log-structured upserts.
 
 Rows of a batch become sparse wide deltas: per entity a map from attribute to cell, each cell with the version
-of its latest value and the least and greatest value seen. Deltas are append-only runs, kept together by
-entity; compaction merges the runs of an entity cell by cell: the latest version wins, the range of values
-widens. A cell whose least and greatest value differ has contradicted itself. Merging is associative and
-commutative, so batches may arrive late, be compacted in any grouping, or be merged with an earlier result.
+of its latest value and the least and greatest value seen. Deltas are stored as runs that are only appended to, in buckets by
+entity and sorted by entity and batch; compaction merges the runs of an entity cell by cell: the latest version wins, the range of values
+widens. A cell whose least and greatest value differ has contradicted itself. Merging is associative, commutative and
+idempotent, so batches may arrive late or twice, be compacted in any grouping, or be merged with an earlier result.
 
 Scale: rows are first combined per entity, attribute and batch (map-side combined, so one entity may hold any
-share of the rows); what is then gathered by entity is bounded by attributes times batches. Compaction and the
-wide row reuse that one partitioning by entity.
+share of the rows); what is then gathered by entity is bounded by attributes times batches. Runs are written once; compaction and the
+wide row read them bucket by bucket without another shuffle.
 
 Defined results: rows with a null key, or a variable that names no attribute, are left out; missing values
 (null or marked) neither set nor contradict a cell; a cell with missing values only is null in the wide row; a value
@@ -18,13 +18,18 @@ ordered by row id, then value; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import code_key, is_missing, number_in, squeezed, trimmed
 from sparkloom.operators.unit_harmonise import with_attribute
+from sparkloom.runtime import shared_path, source_bytes
 
 ENTITY = ("year", "industry_code_anzsic", "rme_size_grp")
+#: Bytes of input per bucket of stored runs, and how many buckets there are at most.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 27, 100_000
 _CELL = ("version", "text", "least", "greatest")
 
 # Month names and the spellings of booleans.
@@ -97,16 +102,31 @@ def differs() -> Column:
     return F.col("least").isNotNull() | F.col("greatest").isNotNull()
 
 
-def deltas(cells: DataFrame) -> DataFrame:
+def deltas(cells: DataFrame, buckets: int | None = None) -> DataFrame:
     """Sparse wide deltas: per entity and batch a map from attr_code to its cell."""
     per_cell = _merge(cells, *ENTITY, "batch", "attr_code")
     return (
-        per_cell.repartition(*[F.col(e) for e in ENTITY])
+        per_cell.repartition(*([buckets] if buckets else []), *[F.col(e) for e in ENTITY])
         .groupBy(*ENTITY, "batch")
         .agg(F.map_from_entries(F.collect_list(F.struct("attr_code", F.struct(*_CELL)))).alias("cells"))
     )
 
 
+def sorted_run(delta: DataFrame) -> DataFrame:
+    """Deltas in the order in which a run is stored."""
+    return delta.sortWithinPartitions(*ENTITY, "batch")
+
+
+def stored_runs(cells: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The deltas of ``cells`` as sorted runs in the shared folder, one bucket of entities per file; written when called."""
+    spark = cells.sparkSession
+    buckets = min(max(spark.sparkContext.defaultParallelism, source_bytes(cells) // bucket_bytes), MOST_BUCKETS)
+    name = f"sparkloom_{uuid.uuid4().hex}"
+    # Spark sorts each file by entity and batch as it writes it
+    deltas(cells, buckets).write.bucketBy(buckets, *ENTITY).sortBy(*ENTITY, "batch").option("path", shared_path(spark, "runs", name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def compact(runs: DataFrame) -> DataFrame:
     """Merge runs of deltas (any union of them) cell by cell: the entity, attr_code, version, text, least, greatest (null where they are the text)."""
     opened = runs.select(*ENTITY, F.explode("cells").alias("attr_code", "cell")).select(*ENTITY, "attr_code", "cell.*")

@@ -35,7 +35,7 @@ def p2_daily(spark: SparkSession, root: str) -> DataFrame:
 
 def _survey_cells(spark: SparkSession, root: str) -> DataFrame:
     cells = wide_cells.cells_of(table(spark, root, "enterprise_survey"), table(spark, root, "survey_attribute"))
-    return wide_cells.compact(wide_cells.deltas(cells))
+    return wide_cells.compact(wide_cells.stored_runs(cells))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:

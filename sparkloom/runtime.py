@@ -31,8 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder, deleted by ``drop_cuts``."""
+def shared_path(spark: SparkSession, kind: str, table: str | None = None) -> str:
+    """A new path in the shared folder, deleted by ``drop_cuts`` together with the table that is kept there."""
+    if table:
+        _tables.append(table)
     path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     _written.append(path)
     return path
@@ -50,11 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the files a plan reads; sources whose size Spark doesn't know count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # noqa: SLF001
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def drop_cuts(spark: SparkSession) -> None:
     """Delete what this process has written to the shared folder, once no DataFrame built on it is needed any more."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS `{_tables.pop()}`")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
     while _written:
         path = hadoop(_written.pop())

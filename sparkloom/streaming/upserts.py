@@ -1,21 +1,22 @@
-"""Wide cells from a stream: every micro-batch becomes a run of sparse deltas, runs are compacted now and then.
-
-A run is written under its batch number, so a batch that is repeated after a failure replaces its own run and
-counts once. Reading compacts all runs on the fly; ``compact_runs`` merges them into one and drops the merged ones.
-Compaction must not run while another compaction does; new batches may arrive meanwhile.
+"""Wide cells from a stream: every micro-batch becomes a sorted run of sparse deltas, runs are compacted now and then.
+
+A run is written under its batch number, so a batch that is repeated after a failure replaces its own run; and as
+merging is idempotent, one that is repeated after it was compacted changes nothing. ``compact_runs`` writes all runs as a new
+base, then switches to it by renaming one small file, the manifest, into place, and only then deletes what was
+merged. Whatever moment it dies at, readers see each run either by itself or in the base, and the next
+compaction clears the remains away. Compaction must not run while another compaction does; new batches may
+arrive meanwhile. A reader whose plan was made before a switch may have to be made again after it.
 """
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators.wide_cells import as_run, cells_of, compact, deltas
-
-#: The run that holds what was compacted.
-BASE = -1
+from sparkloom.operators.wide_cells import as_run, cells_of, compact, deltas, sorted_run
 
 
 def write_deltas(stream: DataFrame, attributes: DataFrame, path: str, checkpoint: str, **trigger: Any):
@@ -23,14 +24,66 @@ def write_deltas(stream: DataFrame, attributes: DataFrame, path: str, checkpoint
 
     def batch(rows: DataFrame, number: int) -> None:
         at = F.lit(number).cast("bigint")
-        deltas(cells_of(rows, attributes, at)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={number}")
+        sorted_run(deltas(cells_of(rows, attributes, at))).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class _Store:
+    """The folder of a table: runs ``run=N``, bases ``base=K`` and manifests ``_manifest-K``, which name the runs in the base."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.jvm = spark, path.rstrip("/"), spark._jvm  # noqa: SLF001
+        self.fs = self.at("").getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(""))) if self.fs.exists(self.at("")) else []
+
+    def read_text(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_text(self, name: str, text: str) -> None:
+        """Appears at once with its whole content."""
+        fresh = f"_fresh-{name.lstrip('_')}"
+        stream = self.fs.create(self.at(fresh), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if not self.fs.rename(self.at(fresh), self.at(name)):
+            raise OSError(f"{self.path}/{name} can't be put in place")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+    def state(self) -> tuple[int, list[str], list[str]]:
+        """The number of the current base (0: none), the folders that count, and what is left over."""
+        names = self.names()
+        bases = sorted(int(n.removeprefix("_manifest-")) for n in names if n.startswith("_manifest-"))
+        current = bases[-1] if bases else 0
+        merged = set(json.loads(self.read_text(f"_manifest-{current}"))) if current else set()
+        live = [n for n in names if n == f"base={current}" or (n.startswith("run=") and n not in merged)]
+        old = [n for n in names if n not in live and n != f"_manifest-{current}" and n.startswith(("run=", "base=", "_manifest-", "_fresh-"))]
+        return current, live, old
+
+    def read(self, folders: list[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in folders]) if folders else None
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """All runs below ``path``, with their number."""
-    return spark.read.option("basePath", path).parquet(path)
+    """The deltas of all runs below ``path``, those in the base included."""
+    store = _Store(spark, path)
+    runs = store.read(store.state()[1])
+    if runs is None:
+        raise FileNotFoundError(f"no runs below {path}")
+    return runs
 
 
 def read_compacted(spark: SparkSession, path: str) -> DataFrame:
@@ -39,16 +92,17 @@ def read_compacted(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_runs(spark: SparkSession, path: str) -> None:
-    """Merge all runs that are there now into the base run and drop them."""
-    runs = [r.run for r in read_runs(spark, path).select("run").distinct().collect()]
-    merged = as_run(compact(read_runs(spark, path).where(F.col("run").isin(*runs))), F.lit(BASE).cast("bigint"))
-    fresh = f"{path.rstrip('/')}/_compacting"  # hidden from readers by its name
-    merged.write.mode("overwrite").parquet(fresh)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
-    target = hadoop(f"{path.rstrip('/')}/run={BASE}")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    fs.delete(target, True)
-    fs.rename(hadoop(fresh), target)
-    for run in runs:
-        if run != BASE:
-            fs.delete(hadoop(f"{path.rstrip('/')}/run={run}"), True)
+    """Merge all runs that are there now into a new base and drop them."""
+    store = _Store(spark, path)
+    current, live, old = store.state()
+    for name in old:
+        store.delete(name)
+    runs = store.read(live)
+    if runs is None:
+        return
+    fresh = current + 1
+    merged = as_run(compact(runs), F.lit(-fresh).cast("bigint"))
+    sorted_run(merged).write.mode("overwrite").parquet(f"{store.path}/base={fresh}")
+    store.write_text(f"_manifest-{fresh}", json.dumps(live))
+    for name in store.state()[2]:
+        store.delete(name)

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
 from sparkloom.operators.malformed_rows import parse_records, refused
 from sparkloom.operators.wide_cells import cells_of, compact, deltas
 from sparkloom.streaming import stateful, upserts
@@ -20,10 +22,41 @@ def test_upserts_equal_one_compaction(spark, tmp_path):
             upserts.compact_runs(spark, runs)
     assert {tuple(r) for r in upserts.read_compacted(spark, runs).collect()} == want
     upserts.compact_runs(spark, runs)
-    assert [r.run for r in upserts.read_runs(spark, runs).select("run").distinct().collect()] == [upserts.BASE]
+    assert [n for n in upserts._Store(spark, runs).names() if not n.startswith(".")] == ["_manifest-2", "base=2"]
     assert {tuple(r) for r in upserts.read_compacted(spark, runs).collect()} == want
 
 
+@pytest.mark.parametrize("fails_at", ["write_text", "delete"])
+def test_compaction_that_dies_loses_and_doubles_nothing(spark, tmp_path, monkeypatch, fails_at):
+    attributes = spark.createDataFrame([("V1", "Staff cost", "decimal", "money", "KDOL")], "attr_code string, attr_name string, value_type string, quantity string, common_unit string")
+    runs = str(tmp_path / "runs")
+
+    def add(number, value):
+        rows = spark.createDataFrame([(number, 2000, "A", "ALL", "Staff cost", value, dt.datetime(2024, 3, 1) + dt.timedelta(hours=number))], ROW)
+        deltas(cells_of(rows, attributes, F.lit(number).cast("bigint"))).write.parquet(f"{runs}/run={number}")
+
+    def cells():
+        return [(r.text, r.least, r.greatest) for r in upserts.read_compacted(spark, runs).collect()]
+
+    def dies(*_):
+        raise OSError("killed")
+
+    add(0, "5")
+    add(1, "3")
+    upserts.compact_runs(spark, runs)
+    add(2, "9")
+    want = cells()
+    with monkeypatch.context() as m:
+        m.setattr(upserts._Store, fails_at, dies)
+        with pytest.raises(OSError, match="killed"):
+            upserts.compact_runs(spark, runs)
+    assert cells() == want == [("9.0", "3.0", None)]
+    add(3, "1")
+    upserts.compact_runs(spark, runs)
+    assert cells() == [("1.0", None, "9.0")]
+    assert len([n for n in upserts._Store(spark, runs).names() if not n.startswith(".")]) == 2
+
+
 def test_state_lives_on_between_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     for k, rows in enumerate([[("a", 2, 5), ("a", 1, 7)], [("a", 3, 1), ("b", 1, 2)]]):

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
-from sparkloom.operators.wide_cells import as_run, cells_of, compact, contradictions, deltas, iso_date, wide
+from sparkloom.operators.wide_cells import as_run, cells_of, compact, contradictions, deltas, iso_date, stored_runs, wide
 
 ROW = "row_id bigint, year int, industry_code_anzsic string, rme_size_grp string, variable string, value string, loaded_at timestamp_ntz"
 ATTRIBUTES = [("V1", "Staff cost", "decimal", "money", "KDOL"), ("V2", "Balance date", "date", None, None), ("V3", "Foreign owned", "boolean", None, None), ("V4", "Main process", "string", None, None)]
@@ -71,3 +71,10 @@ def test_long_text_and_repeated_rows(spark, attributes):
 def test_dates(spark):
     df = spark.createDataFrame([("1.10.2014",), ("2014-10-1",), ("1 October 2014",), ("01/10/2014",), ("1 Foo 2014",), ("soon",), (None,)], "v string")
     assert [r.d for r in df.select(iso_date(F.col("v")).alias("d")).collect()] == ["2014-10-01"] * 4 + [None] * 3
+
+
+def test_stored_runs_are_compacted_without_a_shuffle(spark, attributes):
+    rows = [row(i, "Staff cost", str(i % 4), i, code=f"A{i % 3}") for i in range(60)]
+    stored = compact(stored_runs(cells_of(spark.createDataFrame(rows, ROW), attributes)))
+    assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in run(spark, attributes, rows).collect()}
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
