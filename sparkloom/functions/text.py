@@ -53,7 +53,9 @@ def number_parts(c: Column) -> Column:
     Nearly all plain numbers are told by their characters alone.
     """
     marked = F.split(F.regexp_replace(F.translate(c, "\u0001", " "), rf"(?s)\A(.*?)({NUMBER})(.*)\z", "$1\u0001$2\u0001$3"), "\u0001", 3)
-    plain = (F.translate(c, "0123456789", "") == "") & (c != "")
+    marks = F.translate(c, "0123456789", "")
+    ends = c.endswith(".") | c.endswith("-") | (c == "")
+    plain = (marks.isin("", ".") | (marks.isin("-", "-.") & c.startswith("-"))) & ~ends
     none = F.lit("")
     return F.when(plain, F.array(none, c, none)).otherwise(marked)
 

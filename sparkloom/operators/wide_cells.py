@@ -19,6 +19,7 @@ ordered by row id, then value; other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,34 +38,34 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 TRUE, FALSE = ("yes", "y", "true", "1"), ("no", "n", "false", "0")
 
 
+_DATE = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/. ]\d{1,2}[-/. ]\d{4}|\d{1,2}[-. ]*[a-z]{3}[a-z]*[-., ]*\d{4}"
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once; keeps large expressions out of one generated method, which the JVM would interpret."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def iso_date(c: Column) -> Column:
     """A date text as ``YYYY-MM-DD``: ISO, day before month with points, strokes or blanks, or with a month's name."""
-    t = F.lower(trimmed(c))
-    iso, day_first, named = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})$", r"^(\d{1,2})[-. ]*([a-z]{3})[a-z]*[-., ]*(\d{4})$"
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(t, named, 2))
 
-    def put(y: Column, m: Column, d: Column) -> Column:
-        return F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+    def put(parts: Column) -> Column:
+        iso = F.length(F.get(parts, F.lit(0))) == 4
+        year, day = F.when(iso, F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(2))), F.when(iso, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(0)))
+        name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(F.get(parts, F.lit(1)), 1, 3))
+        month = F.when(name > 0, name.cast("string")).when(F.get(parts, F.lit(1)).rlike(r"^\d+$"), F.get(parts, F.lit(1)))
+        return F.when(month.isNotNull(), F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
 
-    def part(pattern: str, k: int) -> Column:
-        return F.regexp_extract(t, pattern, k)
-
-    return (
-        F.when(t.rlike(iso), put(part(iso, 1), part(iso, 2), part(iso, 3)))
-        .when(t.rlike(day_first), put(part(day_first, 3), part(day_first, 2), part(day_first, 1)))
-        .when(t.rlike(named) & (month > 0), put(part(named, 3), month.cast("string"), part(named, 1)))
-    )
+    t = F.lower(trimmed(c))
+    apart = F.regexp_replace(t, r"[-/., ]+|(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)", " ")
+    return F.when(t.rlike(rf"^(?:{_DATE})$"), _with(F.split(apart, " "), put))
 
 
 def canonical(value: Column, value_type: Column) -> Column:
     """The value as text that is equal exactly if the values are equal as their type; null if missing."""
-    plain = squeezed(value)
-    number = number_in(value)
-    as_type = (
-        F.when(value_type == "decimal", (number + F.lit(0.0)).cast("string"))
-        .when(value_type == "date", iso_date(value))
-        .when(value_type == "boolean", F.when(plain.isin(*TRUE), "true").when(plain.isin(*FALSE), "false"))
-    )
+    known = F.create_map(*[F.lit(x) for words, truth in ((TRUE, "true"), (FALSE, "false")) for w in words for x in (w, truth)])
+    plain = _with(squeezed(value), lambda p: F.coalesce(F.when(value_type == "boolean", F.try_element_at(known, p)), p))
+    as_type = F.when(value_type == "decimal", (number_in(value) + F.lit(0.0)).cast("string")).when(value_type == "date", iso_date(value))
     return F.when(~is_missing(value), F.coalesce(as_type, plain))
 
 
