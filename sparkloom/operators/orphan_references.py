@@ -4,12 +4,14 @@ Every table says when its records are live (spans of a key), every foreign key w
 at which table, and at what moment the child was loaded. A reference is a direct orphan if no record of its
 key is live at that moment: ``missing`` if the key occurs nowhere, ``later`` if it first appears after that
 moment, else ``deleted``. Records with a direct orphan are orphaned, and so are records that refer to orphaned
-ones: those are found by semi-joins down the graph, round by round, until a round finds nothing new.
+ones. All come out of one fixpoint: the direct orphans are round 0, and each round after it goes by semi-joins one step down the
+graph from the records orphaned last, until a round finds nothing new.
 
 Scale: everything is equi-joins on keys; spans are aggregated or made distinct before they are shuffled, and
-where a key has several spans the check is an anti-join, so nothing multiplies. Adaptive execution splits hot
-keys on the child's side and broadcasts parents that turn out small. Each round's new orphans are written to
-the shared folder, which cuts the lineage; the number of rounds is the depth of the graph.
+where a key has several spans the check is an anti-join, so nothing multiplies. The few orphans that leave a join are put
+in another partitioning at once, so that adaptive execution may split hot keys on the child's side; it also broadcasts
+parents that turn out small. A round reads, of the children of tables that got new orphans, the id, key and moment only. Each round's new
+orphans are written to the shared folder when the query is built, which cuts the lineage; the number of rounds is the depth of the graph.
 
 Defined results: a null key refers to nothing and is no orphan; a child without a moment can't be judged by
 time and is an orphan only if its key is ``missing``; a span without a start is live from ever, without an end
@@ -19,7 +21,8 @@ once; empty parents make every reference ``missing``; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -82,10 +85,15 @@ def direct_orphans(graph: dict[str, Keyed], ref: Reference) -> DataFrame:
     if parent.single:
         joined = uses.join(spans, F.col("_key") == F.col("key"), "left").where(~unjudged & (F.col("_there").isNull() | ~_live(at)))
     else:
-        dead = uses.join(spans, (F.col("_key") == F.col("key")) & _live(at), "left_anti")
+        dead = _apart(uses.join(spans, (F.col("_key") == F.col("key")) & _live(at), "left_anti"), "id", "_key", "at")
         first = spans.groupBy("key").agg(F.min(F.coalesce("live_from", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("live_from"), F.first("_there").alias("_there"))
         joined = dead.join(first, F.col("_key") == F.col("key"), "left").where(~unjudged)
-    return joined.select("id", F.col("_key").cast("string").alias("key_value"), "at", kind.alias("kind")).distinct()
+    return _apart(joined.select("id", F.col("_key").cast("string").alias("key_value"), "at", kind.alias("kind")), "id", "key_value", "at").distinct()
+
+
+def _apart(orphans: DataFrame, *by: str) -> DataFrame:
+    """In a partitioning of their own, so that the join they come from needn't keep one and can be split where a key is hot."""
+    return orphans.repartition(*by)
 
 
 def _always(parent: Keyed) -> DataFrame:
@@ -93,6 +101,26 @@ def _always(parent: Keyed) -> DataFrame:
     return parent.rows.where(F.col(parent.id).isNotNull()).select(F.col(parent.id).alias("key"), none.alias("live_from"), none.alias("live_to")).distinct()
 
 
+_ORPHAN = ("table_name", "id", "field_name", "key_value", "at", "kind", "inherited", "round")
+_REFERENCE = ("table_name", "id", "field_name", "key_value")
+
+
+def _labelled(ref: Reference, rows: DataFrame, inherited: bool, k: int) -> DataFrame:
+    """id, key_value, at, kind of a foreign key's orphans as rows of the cascade."""
+    return rows.withColumns(
+        {"table_name": F.lit(ref.child), "id": F.col("id").cast("string"), "field_name": F.lit(ref.field), "inherited": F.lit(inherited), "round": F.lit(k)}
+    ).select(*_ORPHAN)
+
+
+def inherited_orphans(graph: dict[str, Keyed], ref: Reference, orphaned: DataFrame) -> DataFrame:
+    """References of one foreign key to records in ``orphaned`` (table_name, id): id, key_value, at, kind; equal ones once."""
+    child = graph[ref.child]
+    moment = F.lit(None).cast("timestamp_ntz") if ref.at is None else ref.at.cast("timestamp_ntz")
+    uses = child.rows.select(F.col(child.id).alias("id"), F.col(ref.field).cast("string").alias("key_value"), moment.alias("at"), F.lit("orphaned").alias("kind"))
+    gone = orphaned.where(F.col("table_name") == ref.parent).select(F.col("id").alias("_gone")).distinct()
+    return _apart(uses.join(gone, F.col("key_value") == F.col("_gone"), "left_semi"), "id", "key_value", "at").distinct()
+
+
 def orphan_cascade(tables: Sequence[Keyed], references: Sequence[Reference]) -> DataFrame:
     """All orphan references: table_name, id (as string), field_name, key_value, at, kind, inherited, round.
 
@@ -100,43 +128,27 @@ def orphan_cascade(tables: Sequence[Keyed], references: Sequence[Reference]) ->
     reference that is a direct orphan (round 0) is not reported again as inherited.
     """
     graph = {t.name: t for t in tables}
-    found = None
-    for ref in references:
-        direct = direct_orphans(graph, ref).select(
-            F.lit(ref.child).alias("table_name"), F.col("id").cast("string").alias("id"), F.lit(ref.field).alias("field_name"),
-            "key_value", "at", "kind", F.lit(False).alias("inherited"), F.lit(0).alias("round"),
-        )
-        found = direct if found is None else found.unionByName(direct)
-    if found is None:
+    if not references:
         raise ValueError("no reference is given")
-    downward = [r for r in references if any(up.child == r.parent for up in references)]
-    if not downward:
-        return found
-    found = frontier = cut(found)
+    found = frontier = cut(_union(_labelled(ref, direct_orphans(graph, ref), False, 0) for ref in references))
     k = 0
     while True:
         k += 1
-        new = None
-        for ref in downward:
-            child = graph[ref.child]
-            moment = F.lit(None).cast("timestamp_ntz") if ref.at is None else ref.at.cast("timestamp_ntz")
-            uses = child.rows.select(
-                F.lit(ref.child).alias("table_name"), F.col(child.id).cast("string").alias("id"), F.lit(ref.field).alias("field_name"),
-                F.col(ref.field).cast("string").alias("key_value"), moment.alias("at"),
-                F.lit("orphaned").alias("kind"), F.lit(True).alias("inherited"), F.lit(k).alias("round"),
-            )
-            gone = frontier.where(F.col("table_name") == ref.parent).select(F.col("id").alias("_gone")).distinct()
-            step = uses.join(gone, F.col("key_value") == F.col("_gone"), "left_semi").distinct()
-            new = step if new is None else new.unionByName(step)
-        keys = ["table_name", "id", "field_name", "key_value"]
-        known = found.select(*[F.col(c).alias(f"_{c}") for c in keys])
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-        frontier = cut(new.join(known, same[0] & same[1] & same[2] & same[3], "left_anti"))
-        if frontier.isEmpty():
+        touched = {r.table_name for r in frontier.select("table_name").distinct().collect()}  # at most the names of the graph
+        below = [ref for ref in references if ref.parent in touched]
+        if not below:
             return found
+        new = _union(_labelled(ref, inherited_orphans(graph, ref, frontier), True, k) for ref in below)
+        known = found.select(*[F.col(c).alias(f"_{c}") for c in _REFERENCE])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _REFERENCE]
+        frontier = cut(new.join(known, same[0] & same[1] & same[2] & same[3], "left_anti"))
         found = found.unionByName(frontier)
 
 
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def orphan_report(orphans: DataFrame, period: str = "month") -> DataFrame:
     """Counts of orphan references and of the records that hold them per table, period, field, kind and inheritance."""
     return orphans.groupBy(

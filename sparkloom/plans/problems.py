@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import code_key
 from sparkloom.operators import malformed_rows, orphan_references, trailing_totals, unit_harmonise, wide_cells
 from sparkloom.operators.orphan_references import Keyed, Reference
 from sparkloom.runtime import table
@@ -50,26 +51,33 @@ def p3_wide(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _sales_orphans(spark: SparkSession, root: str) -> DataFrame:
+    """The cascade over order_detail, its products and orders, and the customers of orders.
+
+    A customer is there if an order that stands, in its latest version, is theirs, under the id without stray blanks and
+    case; orders refer to it as they are written.
+    """
     orders, details, products = (table(spark, root, t) for t in ("sales_order", "order_detail", "product_ref"))
+    latest = orders.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("loaded_at", "deleted_at", "customer_id")).alias("o"))
+    customers = latest.where(F.col("o.deleted_at").isNull()).select(code_key(F.col("o.customer_id")).alias("customer_id"))
     tables = [
+        Keyed("customer", customers, "customer_id"),
         Keyed("sales_order", orders, "id", orphan_references.first_to_last(orders, "id", "loaded_at", "deleted_at"), single=True),
         Keyed("product_ref", products, "product_id", orphan_references.every_span(products, "product_id", "created_at", "deleted_at")),
         Keyed("order_detail", details, "id"),
     ]
     at = F.col("loaded_at")
-    return orphan_references.orphan_cascade(
-        tables, [Reference("order_detail", "order_id", "sales_order", at), Reference("order_detail", "product_id", "product_ref", at)]
-    )
+    references = [("sales_order", "customer_id", "customer"), ("order_detail", "order_id", "sales_order"), ("order_detail", "product_id", "product_ref")]
+    return orphan_references.orphan_cascade(tables, [Reference(*r, at) for r in references])
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Details whose order or product wasn't there when they were loaded."""
-    orphans = _sales_orphans(spark, root)
-    return orphans.where(~F.col("inherited")).select(F.col("id").alias("detail_id"), "field_name", "kind").distinct()
+    direct = _sales_orphans(spark, root).where((F.col("table_name") == "order_detail") & ~F.col("inherited"))
+    return direct.select(F.col("id").alias("detail_id"), "field_name", "kind").distinct()
 
 
 def p4_report(spark: SparkSession, root: str) -> DataFrame:
-    """Orphans per table, month, field and kind."""
+    """Orphans per table, month, field and kind, direct and inherited ones."""
     return orphan_references.orphan_report(_sales_orphans(spark, root))
 
 
@@ -141,13 +149,21 @@ SELECT year, industry_code_anzsic, rme_size_grp, {columns},
 
 
 _P4 = """
-o AS (SELECT id AS key, min(loaded_at) AS f, arg_max(struct_pack(d := deleted_at), struct_pack(a := loaded_at)).d AS u FROM sales_order WHERE id IS NOT NULL GROUP BY 1),
-refs AS (SELECT DISTINCT id, 'order_id' AS field_name, order_id AS key, loaded_at AS t FROM order_detail WHERE order_id IS NOT NULL
-         UNION ALL SELECT DISTINCT id, 'product_id', product_id, loaded_at FROM order_detail WHERE product_id IS NOT NULL),
-spans AS (SELECT 'order_id' AS field_name, key, f, u FROM o UNION ALL SELECT 'product_id', product_id, created_at, deleted_at FROM product_ref),
-judged AS (SELECT r.id, r.field_name, r.key, r.t, count(s.key) AS n, min(s.f) AS f, coalesce(bool_or(s.f <= r.t AND (s.u IS NULL OR r.t < s.u)), false) AS live
-           FROM refs r LEFT JOIN spans s ON s.field_name = r.field_name AND s.key = r.key GROUP BY 1, 2, 3, 4),
-orphans AS (SELECT *, CASE WHEN n = 0 THEN 'missing' WHEN t < f THEN 'later' ELSE 'deleted' END AS kind FROM judged WHERE NOT live)"""
+latest AS (SELECT id, arg_max(struct_pack(u := deleted_at, c := customer_id), struct_pack(a := loaded_at, d := coalesce(deleted_at, TIMESTAMP '0001-01-01'), c := coalesce(customer_id, ''))) AS o
+           FROM sales_order WHERE id IS NOT NULL GROUP BY 1),
+spans AS (SELECT 'sales_order' AS parent, CAST(id AS VARCHAR) AS key, min(loaded_at) AS f, arg_max(struct_pack(d := deleted_at), struct_pack(a := loaded_at)).d AS u
+          FROM sales_order WHERE id IS NOT NULL GROUP BY 2
+          UNION ALL SELECT 'product_ref', CAST(product_id AS VARCHAR), created_at, deleted_at FROM product_ref
+          UNION ALL SELECT DISTINCT 'customer', upper(trim(o.c)), TIMESTAMP '0001-01-01', NULL FROM latest WHERE o.u IS NULL AND trim(o.c) <> ''),
+refs AS (SELECT DISTINCT 'order_detail' AS table_name, id, 'order_id' AS field_name, CAST(order_id AS VARCHAR) AS key, loaded_at AS t, 'sales_order' AS parent FROM order_detail WHERE order_id IS NOT NULL
+         UNION ALL SELECT DISTINCT 'order_detail', id, 'product_id', CAST(product_id AS VARCHAR), loaded_at, 'product_ref' FROM order_detail WHERE product_id IS NOT NULL
+         UNION ALL SELECT DISTINCT 'sales_order', CAST(id AS VARCHAR), 'customer_id', customer_id, loaded_at, 'customer' FROM sales_order WHERE customer_id IS NOT NULL),
+judged AS (SELECT r.table_name, r.id, r.field_name, r.key, r.t, count(s.key) AS n, min(s.f) AS f, coalesce(bool_or(s.f <= r.t AND (s.u IS NULL OR r.t < s.u)), false) AS live
+           FROM refs r LEFT JOIN spans s ON s.parent = r.parent AND s.key = r.key GROUP BY 1, 2, 3, 4, 5),
+cascade(table_name, id, field_name, key, t, kind, inherited, round) AS (
+    SELECT table_name, id, field_name, key, t, CASE WHEN n = 0 THEN 'missing' WHEN t < f THEN 'later' ELSE 'deleted' END, false, 0 FROM judged WHERE NOT live
+    UNION SELECT r.table_name, r.id, r.field_name, r.key, r.t, 'orphaned', true, c.round + 1 FROM refs r JOIN cascade c ON c.table_name = r.parent AND c.id = r.key),
+orphans AS (SELECT * FROM cascade QUALIFY round = min(round) OVER (PARTITION BY table_name, id, field_name, key))"""
 
 
 # For the SQL, per quantity and unit code what its texts look like in lower case without blanks, the first that fits.
@@ -195,8 +211,8 @@ SQL = {
         round(t30 / nullif(100 * n30, 0), 6) AS avg_order_30, n30 AS orders_30 FROM days""",
     "p3_found": f"WITH {_P3.strip()} SELECT year, industry_code_anzsic, rme_size_grp, attr_code FROM cells GROUP BY ALL HAVING min(text) <> max(text)",
     "p3_wide": _p3_wide_sql(),
-    "p4_found": f"WITH {_P4.strip()} SELECT DISTINCT id AS detail_id, field_name, kind FROM orphans",
-    "p4_report": f"""WITH {_P4.strip()} SELECT 'order_detail' AS table_name, CAST(date_trunc('month', t) AS DATE) AS period, field_name, kind, false AS inherited,
+    "p4_found": f"WITH RECURSIVE {_P4.strip()} SELECT DISTINCT id AS detail_id, field_name, kind FROM orphans WHERE table_name = 'order_detail' AND NOT inherited",
+    "p4_report": f"""WITH RECURSIVE {_P4.strip()} SELECT table_name, CAST(date_trunc('month', t) AS DATE) AS period, field_name, kind, inherited,
         count(*) AS orphan_references, count(DISTINCT id) AS orphan_records FROM orphans GROUP BY ALL""",
     "p6_found": _p6_sql("SELECT row_id FROM j WHERE NOT missing AND unit_code <> common_unit"),
     "p6_values": _p6_sql("SELECT row_id, attr_code, round(number * factor, 6) AS common_value, common_unit FROM j"),
