@@ -9,26 +9,25 @@ from sparkloom.llm import digests, packing, residue, winnowing
 from sparkloom.runtime import cut, table
 
 _GROUP = ["product_id", "period"]
+_PERCENTS = (25, 50, 75, 90)
 
 
 def _prices(spark: SparkSession, root: str) -> DataFrame:
-    """product_id, period (the day), unit_price of each detail once."""
-    details = table(spark, root, "order_detail").withColumn("period", F.date_format("loaded_at", "yyyy-MM-dd"))
-    return digests.once_per_id(details, "id", [*_GROUP, "unit_price"]).where(
-        F.col("product_id").isNotNull() & F.col("period").isNotNull() & F.col("unit_price").isNotNull() & ~F.isnan("unit_price")
-    )
+    """id, product_id, month, day, unit_price of all details."""
+    day = F.date_format("loaded_at", "yyyy-MM-dd")
+    return table(spark, root, "order_detail").select("id", "product_id", F.substring(day, 1, 7).alias("month"), day.alias("day"), "unit_price")
 
 
-def _months(days: DataFrame) -> DataFrame:
-    """``days`` with the month as period."""
-    return days.withColumn("period", F.substring("period", 1, 7))
+def _price_digests(prices: DataFrame) -> DataFrame:
+    """product_id, period, digest of every day and, merged from them, of every month."""
+    values = digests.placed(prices, ["product_id", "month"], "unit_price", within="day", id_column="id", infinite=True)
+    return digests.group_digests(values).select("product_id", F.coalesce("day", "month").alias("period"), "digest")
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Published first quartiles that lie outside the 20th to 30th percentile of their product and period.
 
     The digests' certain rank bounds dismiss profiles that are surely right; the ranks of all others are counted.
-    Days are digested once and merged into months; either kind of profile meets its kind of digest.
     """
     prices = _prices(spark, root)
     profiles = (
@@ -37,36 +36,37 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
         .select("profile_id", *_GROUP, F.col("percentile25").try_cast("double").alias("point"))
         .where(F.col("point").isNotNull() & F.col("product_id").isNotNull() & F.col("period").isNotNull())
     )
-    daily = digests.group_digests(prices, _GROUP, "unit_price", infinite=True)
-    monthly = digests.merge_digests(_months(daily), _GROUP)
-    monthly_profile = F.length("period") == 7
-    bounds = digests.rank_bounds(daily, _GROUP, profiles.where(~monthly_profile), "point").unionByName(
-        digests.rank_bounds(monthly, _GROUP, profiles.where(monthly_profile), "point")
-    )
     low, high = digests.nearest_rank(F.col("n"), 20), digests.nearest_rank(F.col("n"), 30)
-    doubtful = bounds.where(~((F.col("le_least") >= low) & (F.col("lt_most") < high))).select("profile_id", *_GROUP, "point")
-    first = F.when(monthly_profile, F.concat("period", F.lit("-01"))).otherwise(F.col("period")).try_cast("date")
-    last = F.when(monthly_profile, F.last_day(first)).otherwise(first)
-    by_day = doubtful.select("profile_id", "product_id", "point", F.explode(F.sequence(first, last)).alias("day"))
-    by_day = by_day.select("profile_id", "product_id", "point", F.date_format("day", "yyyy-MM-dd").alias("period"))
-    counts = digests.counted_ranks(prices, _GROUP, "unit_price", by_day, "point", ["profile_id"], infinite=True)
-    return counts.where((F.col("le") < low) | (F.col("lt") >= high)).select("profile_id").distinct()
+    bounds = digests.rank_bounds(_price_digests(prices), _GROUP, profiles, "point")
+    doubtful = cut(bounds.where(~((F.col("le_least") >= low) & (F.col("lt_most") < high))).select("profile_id", *_GROUP, "point"))
+    wrong = []
+    for period, length in (("day", 10), ("month", 7)):
+        asked = doubtful.where(F.length("period") == length).withColumnRenamed("period", period)
+        counts = digests.counted_ranks(prices, ["product_id", period], "unit_price", asked, "point", "id", infinite=True)
+        wrong.append(asked.join(counts, ["product_id", period, "point"]).where((F.col("le") < low) | (F.col("lt") >= high)).select("profile_id"))
+    return wrong[0].unionByName(wrong[1]).distinct()
 
 
-def p5_percentiles(spark: SparkSession, root: str) -> DataFrame:
-    """Quartiles and the 90th percentile of unit_price per product and day or month, with bounded and counted rank error.
-
-    Days are digested once and merged into months.
-    """
+def _percentiles(spark: SparkSession, root: str) -> DataFrame:
     prices = _prices(spark, root)
-    daily = cut(digests.group_digests(prices, _GROUP, "unit_price", infinite=True))
+    estimates = cut(digests.percentiles(_price_digests(prices), _GROUP, _PERCENTS))
+    held = []
+    for period, length in (("day", 10), ("month", 7)):
+        of = estimates.where(F.length("period") == length)
+        values = prices.withColumnRenamed(period, "period")
+        held.append(digests.certified(of, digests.counted_ranks(values, _GROUP, "unit_price", of, "estimate", "id", infinite=True), _GROUP))
+    return held[0].unionByName(held[1])
+
+
+def p5_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    """Quartiles and the 90th percentile of unit_price per product and day or month, with bounded and counted rank error."""
+    return _percentiles(spark, root)
 
-    def held(of: DataFrame, values: DataFrame) -> DataFrame:
-        estimates = cut(digests.percentiles(of, _GROUP, (25, 50, 75, 90)))
-        counts = digests.counted_ranks(values, _GROUP, "unit_price", estimates, "estimate", [*_GROUP, "percent"], infinite=True)
-        return digests.certified(estimates, counts, _GROUP)
 
-    return held(daily, prices).unionByName(held(digests.merge_digests(_months(daily), _GROUP), _months(prices)))
+def p5_certified(spark: SparkSession, root: str) -> DataFrame:
+    """Of every percentile the number of values, whether its counted rank error is within its bound, and whether that is at most 2 %."""
+    bound = F.col("error_bound")
+    return _percentiles(spark, root).select(*_GROUP, "percent", "n", (F.col("rank_error") <= bound).alias("within_bound"), (bound <= 0.02).alias("bound_holds"))
 
 
 def p7_pack(spark: SparkSession, root: str) -> DataFrame:
@@ -93,7 +93,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_records(table(spark, root, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p7_pack, p8_found, p8_items, p9_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_certified, p7_pack, p8_found, p8_items, p9_found)}
 
 _TAGS = r"</?[a-zA-Z][^<>]*>|\[/?(?:quote|b|i|u|s|url|img|code|color|size|font|list|spoiler)(?:=[^\]\n]*)?\]"
 
@@ -118,5 +118,8 @@ j AS (SELECT r.profile_id, r.p, v.x FROM r JOIN v ON v.product_id = r.product_id
 SQL = {
     "p5_found": f"""WITH {_P5.strip()} SELECT profile_id FROM j GROUP BY profile_id, p
         HAVING count(*) FILTER (WHERE x <= p) < (count(*) * 20 + 99) // 100 OR count(*) FILTER (WHERE x < p) >= (count(*) * 30 + 99) // 100""",
+    "p5_certified": """WITH v AS (SELECT DISTINCT id, product_id, unit_price, loaded_at FROM order_detail WHERE product_id IS NOT NULL AND unit_price IS NOT NULL AND NOT isnan(unit_price)),
+        g AS (SELECT product_id, strftime(loaded_at, '%Y-%m-%d') AS period FROM v UNION ALL SELECT product_id, strftime(loaded_at, '%Y-%m') FROM v)
+        SELECT product_id, period, percent, count(*) AS n, true AS within_bound, true AS bound_holds FROM g, (VALUES (25), (50), (75), (90)) p(percent) GROUP BY ALL""",
     "p8_found": f"WITH {_P8.strip()} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
 }

@@ -2,7 +2,6 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from sparkloom.llm import digests, queries
@@ -10,9 +9,17 @@ from sparkloom.llm import digests, queries
 SCHEMA = "id string, g string, v double"
 
 
-def build(spark, values, parts=4):
+def digest(df, **more):
+    return digests.group_digests(digests.placed(df, ["g"], "v", **more))
+
+
+def build(spark, values, parts=4, **more):
     df = spark.createDataFrame(values, "g string, v double").repartition(parts)
-    return df, digests.group_digests(df, ["g"], "v")
+    return df, digest(df, **more)
+
+
+def sizes(d):
+    return {r.g: (r.c, r.n) for r in d.select("g", F.size("digest").alias("c"), F.aggregate("digest", F.lit(0).cast("bigint"), lambda a, c: a + c["weight"]).alias("n")).collect()}
 
 
 def ranks(values, x):
@@ -29,7 +36,7 @@ def test_bounds_hold_and_are_narrow(spark, make):
         le, lt = ranks(values, r.x)
         assert r.le_least <= le <= r.le_most and r.lt_least <= lt <= r.lt_most
         assert r.le_most - r.le_least <= 0.03 * len(values) + values.count(r.x)
-    assert d.count() <= digests.DELTA
+    assert sizes(d)["a"][0] <= digests.DELTA
 
 
 def test_percentiles_are_certified(spark):
@@ -37,7 +44,7 @@ def test_percentiles_are_certified(spark):
     values = [rng.gauss(0, 1) for _ in range(30_000)]
     df, d = build(spark, [("a", v) for v in values])
     estimates = digests.percentiles(d, ["g"], (1, 25, 50, 75, 99))
-    counts = digests.counted_ranks(df, ["g"], "v", estimates, "estimate", ["g", "percent"])
+    counts = digests.counted_ranks(df, ["g"], "v", estimates, "estimate")
     got = digests.certified(estimates, counts, ["g"]).collect()
     assert len(got) == 5
     for r in got:
@@ -61,33 +68,56 @@ def test_days_combine_into_months(spark):
     rows = [(f"d{i % 30}", rng.random()) for i in range(60_000)]
     _, daily = build(spark, rows)
     month = digests.merge_digests(daily.withColumn("g", F.lit("m")), ["g"])
-    assert month.count() <= digests.DELTA
+    assert sizes(month)["m"][0] <= digests.DELTA
     values = [v for _, v in rows]
     for r in digests.percentiles(month, ["g"], (10, 50, 90)).collect():
         assert abs(ranks(values, r.estimate)[0] / len(values) - r.percent / 100) <= r.error_bound + 1e-9 <= 0.03
 
 
-def test_large_groups_stay_small_in_a_partition():
-    frame = pd.DataFrame({"g": ["a"] * 50_000, "mean": np.random.default_rng(1).random(50_000)})
-    out = digests.digest_frame(frame.assign(weight=1, least=frame["mean"], greatest=frame["mean"]), ["g"], 400)
-    assert len(out) <= 201 and out["weight"].sum() == 50_000
+def test_large_groups_become_short():
+    values = np.random.default_rng(1).random(50_000)
+    group, made, _ = digests.clustered(np.zeros(50_000, dtype=np.int64), [values, np.ones(50_000, dtype=np.int64), values, values], 400)
+    assert len(group) <= 201 and made[1].sum() == 50_000
+
+
+@pytest.mark.parametrize(("heavy", "fan", "most"), [(1_000_000, 64, 1), (700, 64, 15), (100, 3, 100)])
+def test_parts_and_buffers_do_not_change_the_counts(spark, heavy, fan, most):
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 500 AS STRING) END AS g", "CAST(id AS DOUBLE) AS v").coalesce(3)
+    values = digests.placed(df, ["g"], "v", heavy=heavy)
+    assert values.most == most
+    d = digests.group_digests(values, buffer_rows=3_000, fan=fan)
+    got = sizes(d)
+    assert got["hot"][1] == 10_000 and got["hot"][0] <= 220 and sum(n for _, n in got.values()) == 30_000
+    for r in digests.percentiles(d.where("g = 'hot'"), ["g"], (10, 50, 90)).collect():
+        assert abs(r.estimate / 30_000 - r.percent / 100) <= r.error_bound + 1e-4 <= 0.06
+
+
+def test_finer_groups(spark):
+    df = spark.range(5_000).selectExpr("CAST(id % 2 AS STRING) AS g", "CAST(id % 31 AS STRING) AS d", "CAST(id AS DOUBLE) AS v")
+    for heavy in (1_000_000, 300):
+        rows = digests.group_digests(digests.placed(df, ["g"], "v", within="d", heavy=heavy)).select("g", "d", F.aggregate("digest", F.lit(0).cast("bigint"), lambda a, c: a + c["weight"]).alias("n")).collect()
+        assert len(rows) == 2 * 31 + 2 and {r.n for r in rows if r.d is None} == {2_500} and sum(r.n for r in rows) == 10_000
 
 
-def test_buffers_do_not_change_the_counts(spark):
-    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 500 AS STRING) END AS g", "CAST(id AS DOUBLE) AS v")
-    parts = digests.partial_digests(df.coalesce(1), ["g"], "v", buffer_rows=7_000)
-    got = {r.g: r.n for r in digests.merge_digests(parts, ["g"]).groupBy("g").agg(F.sum("weight").alias("n")).collect()}
-    assert got["hot"] == 10_000 and sum(got.values()) == 30_000
+def test_many_digests_merge_in_a_tree(spark):
+    _, daily = build(spark, [(f"d{i}", float(i * 50 + j)) for i in range(300) for j in range(50)])
+    month = digests.merge_digests(daily.withColumn("g", F.lit("m")), ["g"], most=300, fan=8)
+    assert sizes(month)["m"][1] == 15_000
+    (median,) = digests.percentiles(month, ["g"], (50,)).collect()
+    assert abs(median.estimate / 15_000 - 0.5) <= median.error_bound <= 0.06
 
 
 def test_defined_results(spark):
     rows = [("1", "a", 1.0), ("1", "a", 1.0), ("1", "a", 2.0), ("2", "a", None), ("3", "a", float("nan")), ("4", "a", float("inf")), ("5", None, 1.0), (None, "a", 3.0), (None, "a", 3.0)]
-    once = digests.once_per_id(spark.createDataFrame(rows, SCHEMA), "id", ["g", "v"])
-    d = digests.group_digests(once, ["g"], "v").collect()
-    assert sorted((r["mean"], r.weight) for r in d) == [(2.0, 1), (3.0, 1), (3.0, 1)] or sum(r.weight for r in d) == 3
-    assert digests.group_digests(spark.createDataFrame([], SCHEMA), ["g"], "v").count() == 0
-    more = spark.createDataFrame([("1", "a", 1.0, 7, 8, 9.0)], SCHEMA + ", mean int, weight int, least double")
-    assert digests.group_digests(more, ["g"], "v").count() == 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sizes(digest(df, id_column="id")) == {"a": (4, 4)}  # 1 and 2 of id 1 and both of null id
+    points = spark.createDataFrame([("a", 1.0), ("a", 2.5), ("a", None), ("b", 1.0)], "g string, x double")
+    counts = digests.counted_ranks(df, ["g"], "v", points, "x", "id").collect()
+    assert sorted((r.x, r.n, r.le, r.lt) for r in counts) == [(1.0, 4, 1, 0), (2.5, 4, 2, 2)]
+    empty = spark.createDataFrame([], SCHEMA)
+    assert digest(empty).count() == 0 and digests.percentiles(digest(empty), ["g"], (50,)).count() == 0
+    more = spark.createDataFrame([("1", "a", 1.0, 7, 8, 9.0, "z")], SCHEMA + ", mean int, weight int, value double, part string")
+    assert digest(more).count() == 1
 
 
 def details(spark, root, prices):
