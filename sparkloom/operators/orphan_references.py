@@ -82,7 +82,7 @@ def direct_orphans(graph: dict[str, Keyed], ref: Reference) -> DataFrame:
     at = F.col("at")
     unjudged = at.isNull() & F.col("_there").isNotNull()
     kind = F.when(F.col("_there").isNull(), "missing").when(at < F.col("live_from"), "later").otherwise("deleted")
-    if parent.single:
+    if parent.single or parent.spans is None:
         joined = uses.join(spans, F.col("_key") == F.col("key"), "left").where(~unjudged & (F.col("_there").isNull() | ~_live(at)))
     else:
         dead = _apart(uses.join(spans, (F.col("_key") == F.col("key")) & _live(at), "left_anti"), "id", "_key", "at")
