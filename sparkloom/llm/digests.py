@@ -280,8 +280,8 @@ def rank_bounds(digests: DataFrame, keys: Sequence[str], points: DataFrame, poin
     def weight_of(counts: Callable[[Column], Column]) -> Column:
         return F.aggregate("digest", F.lit(0).cast("bigint"), lambda acc, c: acc + F.when(counts(c), c["weight"]).otherwise(F.lit(0).cast("bigint")))
 
-    joined = points.distinct().join(digests.select(*keys, "digest"), list(keys))
-    return joined.select(
+    joined = points.join(digests.select(*keys, "digest"), list(keys))
+    bounds = joined.select(
         *points.columns,
         weight_of(lambda c: F.lit(True)).alias("n"),
         weight_of(lambda c: c["greatest"] <= x).alias("le_least"),
@@ -289,6 +289,7 @@ def rank_bounds(digests: DataFrame, keys: Sequence[str], points: DataFrame, poin
         weight_of(lambda c: c["greatest"] < x).alias("lt_least"),
         weight_of(lambda c: c["least"] < x).alias("lt_most"),
     )
+    return bounds.distinct()  # of the results, so that points whose size is known are broadcast
 
 
 def counted_ranks(
