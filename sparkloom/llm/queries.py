@@ -84,8 +84,8 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, root: str) -> DataFrame:
-    """Which evaluation items leaked."""
-    return winnowing.leaked_items(_passages(spark, root))
+    """Which evaluation items leaked, and into how many documents."""
+    return winnowing.leaked_items(_passages(spark, root)).select("item_id", "documents")
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
@@ -121,5 +121,6 @@ SQL = {
     "p5_certified": """WITH v AS (SELECT DISTINCT id, product_id, unit_price, loaded_at FROM order_detail WHERE product_id IS NOT NULL AND unit_price IS NOT NULL AND NOT isnan(unit_price)),
         g AS (SELECT product_id, strftime(loaded_at, '%Y-%m-%d') AS period FROM v UNION ALL SELECT product_id, strftime(loaded_at, '%Y-%m') FROM v)
         SELECT product_id, period, percent, count(*) AS n, true AS within_bound, true AS bound_holds FROM g, (VALUES (25), (50), (75), (90)) p(percent) GROUP BY ALL""",
+    "p8_items": f"""WITH {_P8.strip()} SELECT item_id, count(DISTINCT doc_id) AS documents FROM dg JOIN ig USING (g) GROUP BY 1""",
     "p8_found": f"WITH {_P8.strip()} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
 }

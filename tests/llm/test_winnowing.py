@@ -61,3 +61,21 @@ def test_defined_results(spark):
     items = spark.createDataFrame([(1, text, 9)], ITEM + ", doc_id int")
     assert winnowing.shared_passages(clash, items).count() == 1
     assert winnowing.leaked_items(winnowing.shared_passages(clash, items)).collect()[0].documents == 1
+
+
+def test_frequent_words_make_no_candidates(spark):
+    """A run of five words that all texts share is a hit of fingerprints, but no candidate without ten words in common."""
+    docs = spark.createDataFrame([(d, f"a{d} b{d} c{d} d{d} e{d} how are you all today f{d} g{d} h{d} i{d} j{d}") for d in range(40)], DOC)
+    items = spark.createDataFrame([(i, f"m{i} n{i} o{i} p{i} q{i} how are you all today r{i} s{i} t{i} u{i} v{i}") for i in range(40)] + [(99, "x b7 c7 d7 e7 how are you all today f7")], ITEM)
+    got = winnowing.candidates(docs, items, "doc_id", "item_id").collect()
+    assert [(r["_doc"], r["_item"], r.span, r.doc_at, r.item_at) for r in got] == [(7, 99, 10, 1, 1)]
+
+
+def test_longest_run():
+    assert winnowing.longest_run([(1, 1), (5, 2), (2, 2), (6, 3), (7, 4), (9, 9)]) == (3, 5, 2)
+
+
+def test_texts_under_one_key_are_told_apart(spark):
+    passage = [f"p{i}" for i in range(20)]
+    docs = [(1, " ".join(passage[:12])), (1, " ".join(["z"] * 8 + passage[8:]))]
+    assert found(spark, docs, [(1, " ".join(passage))]) == {(1, 1): 12}
