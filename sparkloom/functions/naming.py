@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 Naming = Callable[[str], str]
 
-_EDGES = (re.compile(r"([A-Z]+)([A-Z][a-z])"), re.compile(r"([a-z\d])([A-Z])"))
+def pieces(name: str) -> list[str]:
+    """The name cut before every capital that begins a word: one behind a small letter or digit, or the last of a run before a small letter."""
+    out, start = [], 0
+    for i in range(1, len(name)):
+        behind_capital = name[i - 1].isupper() and name[i + 1 : i + 2].islower()
+        if name[i].isupper() and (behind_capital or name[i - 1].islower() or name[i - 1].isdigit()):
+            out.append(name[start:i])
+            start = i
+    return [*out, name[start:]]
 
 
 def parts(name: str) -> list[str]:
     """The words of a camel-case or snake-case name, in lower case."""
-    for edge in _EDGES:
-        name = edge.sub(r"\1_\2", name)
-    return [p for p in name.lower().split("_") if p]
+    return [p for piece in pieces(name) for p in piece.lower().split("_") if p]
 
 
 def literal(name: str) -> str:
@@ -42,7 +47,7 @@ def with_spaces_lower_case(name: str) -> str:
 
 
 def with_spaces(name: str) -> str:
-    return " ".join(re.sub(r"[_\s]+", " ", _EDGES[1].sub(r"\1 \2", _EDGES[0].sub(r"\1 \2", name))).split())
+    return " ".join(" ".join(pieces(name)).replace("_", " ").split())
 
 
 def with_spaces_capitalize(name: str) -> str:

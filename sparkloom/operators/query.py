@@ -212,7 +212,8 @@ class Query:
 
         def build(r: Relation, _: Inputs) -> Relation:
             columns, keys = list(r.shape.columns()), [c.alias(fresh()) for c in columns_of(call(f, r.row))]
-            order = F.struct(*columns_of(call(first, r.row)), *columns)
+            # ties fall to the least row; maps have no order, their text has
+            order = F.struct(*columns_of(call(first, r.row)), *[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in r.df.select(*columns).schema.fields])
             got = r.df.groupBy(*keys).agg((F.max_by if descending else F.min_by)(F.struct(*columns), order).alias("_first"))
             return Relation(got.select("_first.*"), r.shape)
 
@@ -299,11 +300,17 @@ class Ranking(Aggregation):
     def lag(f: Callable) -> Aggregation:
         return Ranking(lambda row, wrap: wrap(F.lag(call(f, row), 1)))
 
+    @staticmethod
+    def of(function: Callable[..., Column], *by: Callable) -> Aggregation:
+        """A ranking of one's own: any window function of Spark that needs an order (``F.dense_rank``, ``F.ntile`` bound to a
+        number, ``F.lead``), applied to projections of the row."""
+        return Ranking(lambda row, wrap: wrap(function(*[call(f, row) for f in by])))
+
     def map(self, f: Callable) -> Aggregation:
         return Ranking(lambda row, wrap: f(self(row, wrap)))
 
 
-row_number, rank, lag = Ranking.row_number, Ranking.rank, Ranking.lag
+row_number, rank, lag, ranking = Ranking.row_number, Ranking.rank, Ranking.lag, Ranking.of
 
 
 class Windowing:
@@ -316,8 +323,14 @@ class Windowing:
     def order_by(self, *keys: Callable) -> Windowing:
         return Windowing(self._query, self._f, self._partition, (*self._order, *keys))
 
-    def over(self) -> Query:
-        """Aggregates take the whole partition, with or without an order; unordered rankings take all rows as ties."""
+    def over(self, partition_by: Callable | Iterable[Callable] = (), order_by: Callable | Iterable[Callable] = ()) -> Query:
+        """Aggregates take the whole partition, with or without an order; unordered rankings take all rows as ties.
+
+        Partition and order may be given here as well as by ``partition_by`` and ``order_by``.
+        """
+        if partition_by or order_by:
+            given = [(x,) if callable(x) else tuple(x) for x in (partition_by, order_by)]
+            return Windowing(self._query, self._f, given[0] or self._partition, given[1] or self._order).over()
         if not self._partition:
             raise ValueError("a window needs a partition")
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import io
 import operator
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import naming
 from sparkloom.operators import explore, results
 from sparkloom.operators.query import Inputs, Query, is_in, is_in_collection, lag, rank, row_number, same, select, values
-from sparkloom.runtime import shared_dir, table
+from sparkloom.runtime import shared_path, table
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "sales_order", "order_detail")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -478,7 +478,7 @@ class Supplier:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/io-{uuid.uuid4().hex}"
+    return shared_path(spark, "io")
 
 
 _SUPPLIERS = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
@@ -512,14 +512,11 @@ def json_roundtrip(spark: SparkSession, root: str) -> DataFrame:
 
 @query(_SUPPLIERS)
 def excel_roundtrip(spark: SparkSession, root: str) -> DataFrame:
-    from pathlib import Path
+    from sparkloom.sources import excel
 
-    from sparkloom.sources import excel, files
-
-    folder = Path(files.local_folder(_scratch(spark)))
-    folder.mkdir(parents=True)
-    excel.write_file(_camel(table(spark, root, "supplier")), str(folder / "s.xlsx"), header=True, naming=naming.kebab_case)
-    return _renamed(excel.read(spark, Supplier).option(by_name=True, naming=naming.kebab_case).directory(str(folder)))
+    book = io.BytesIO()
+    excel.write_file(_camel(table(spark, root, "supplier")), book, header=True, naming=naming.kebab_case)
+    return _renamed(excel.read(spark, Supplier).option(by_name=True, naming=naming.kebab_case).bytes(book.getvalue()))
 
 
 @query("SELECT CAST(n_regionkey AS BIGINT) AS key, arg_max(n_name, n_nationkey) AS name FROM nation GROUP BY 1")

@@ -55,7 +55,8 @@ class Reader:
         return dataclasses.replace(self, options=dataclasses.replace(self.options, **changed))
 
     def parser(self, field_or_type: Any, parse: Parser) -> Reader:
-        """A decoder of one's own for a field (by path) or a type: a text Column to a value Column, null if unreadable."""
+        """A decoder of one's own for a field (by path) or a type: a text Column to a value Column, null if unreadable,
+        or to a pair of the value and the text of its error, null if there is none."""
         return dataclasses.replace(self, parsers={**self.parsers, field_or_type: parse})
 
     def lenient(self) -> Reader:
@@ -99,7 +100,7 @@ class Reader:
         return out
 
     def directory(self, root: str, pattern: str = "*", max_depth: int = 20) -> DataFrame:
-        return self.files(files.directory(root, pattern, max_depth))
+        return self.files(files.directory(self.spark, root, pattern, max_depth))
 
     def url(self, url: str) -> DataFrame:
         return self._one(files.fetched(self.spark, url))

@@ -102,7 +102,14 @@ class Reader:
         return self.files([path])
 
     def directory(self, root: str, pattern: str = "*.xlsx", max_depth: int = 20) -> DataFrame:
-        return self.files(files.directory(root, pattern, max_depth))
+        return self.files(files.directory(self.spark, root, pattern, max_depth))
+
+    def url(self, url: str) -> DataFrame:
+        return self.file(files.fetched(self.spark, url))
+
+    def bytes(self, content: bytes) -> DataFrame:
+        """A workbook at hand."""
+        return self.file(files.written(self.spark, content))
 
     def files(self, paths: Sequence[str]) -> DataFrame:
         sheet, formulas, by_name = self.sheet, self.evaluate_formulas, self.by_name

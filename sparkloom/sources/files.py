@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-import fnmatch
-import os
+import re
 import urllib.request
-import uuid
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from sparkloom.runtime import shared_dir
+from sparkloom.runtime import shared_path
+
+
+def directory(spark: SparkSession, root: str, pattern: str = "*", max_depth: int = 20) -> list[str]:
+    """Files below ``root``, in any file system Spark knows, whose path matches the glob, in order of their path.
+
+    In the glob ``*`` and ``?`` stay within a folder's name, ``**`` crosses folders, ``{a,b}`` are alternatives; a pattern without
+    a stroke is matched with the file's name.
+    """
+    matches = re.compile(glob_expression(pattern)).fullmatch
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)  # noqa: SLF001
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    found, folders = [], [(top, root.rstrip("/"), 0)]
+    while folders:
+        folder, path, depth = folders.pop()
+        for status in system.listStatus(folder):
+            name = f"{path}/{status.getPath().getName()}"
+            if not status.isDirectory():
+                found += [name] * bool(matches(name if "/" in pattern else status.getPath().getName()))
+            elif depth < max_depth:
+                folders.append((status.getPath(), name, depth + 1))
+    return sorted(found)
 
 
-def directory(root: str, pattern: str = "*", max_depth: int = 20) -> list[str]:
-    """Regular files below ``root`` whose full path matches the glob, in order of their path."""
-    base = Path(root)
-    found = []
-    for folder, subs, names in os.walk(base):
-        depth = len(Path(folder).relative_to(base).parts)
-        if depth >= max_depth:
-            subs.clear()
-        found += [str(Path(folder, n)) for n in names if fnmatch.fnmatch(str(Path(folder, n)), pattern) or fnmatch.fnmatch(n, pattern)]
-    return sorted(found)
+def glob_expression(pattern: str) -> str:
+    """A glob as a regular expression."""
+    signs = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}
+    out, within = [], 0
+    for sign in re.findall(r"\*\*/|\*\*|.", pattern, re.DOTALL):
+        within += (sign == "{") - (sign == "}")
+        out.append(signs[sign] if sign in signs and (sign != "," or within) else re.escape(sign))
+    return "".join(out)
 
 
 def first_line(spark: SparkSession, path: str) -> str:
@@ -49,7 +65,7 @@ def written(spark: SparkSession, content: str | bytes) -> str:
 
 
 def _stored(spark: SparkSession, chunks: Iterator[bytes]) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/source-{uuid.uuid4().hex}"
+    path = shared_path(spark, "source")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     target = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)  # noqa: SLF001
     try:
@@ -60,10 +76,5 @@ def _stored(spark: SparkSession, chunks: Iterator[bytes]) -> str:
     return path
 
 
-def local_folder(shared: str) -> str:
-    """The shared folder as a path of this machine."""
-    return shared.removeprefix("file://")
-
-
 def as_list(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import html
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -57,6 +58,13 @@ class Styling:
     def for_all_fields(self, style: Style) -> Styling:
         return dataclasses.replace(self, field={}, default_field=style)
 
+    def add_header(self, path: str, style: Style) -> Styling:
+        """Adds to what the header has by now, the default included."""
+        return self.for_header(path, {**self.of_header(leaf(path)), **style})
+
+    def add_field(self, path: str, style: Style) -> Styling:
+        return self.for_field(path, {**self.of_field(leaf(path)), **style})
+
     def of_header(self, name: str) -> Style:
         return self.header.get(name, self.default_header)
 
@@ -83,8 +91,13 @@ def text(value: Any) -> str:
 def write_file(
     df: DataFrame, target: Any, naming: Naming = literal, styling: Styling | None = None, html_tag: Tag = Tag("html"), head_tag: Tag = Tag("head"),
     body_tag: Tag = Tag("body"), table_tag: Tag = Tag("table"), tr_tag: Tag = Tag("tr"), th_tag: Tag = Tag("th"), td_tag: Tag = Tag("td"), encoding: str = "UTF-8",
+    encoders: dict[str, Callable[[Any], str]] | None = None,
 ) -> None:
-    """One document (or an open text stream), streamed through the driver; columns missing in a row get an empty cell."""
+    """One document (or an open text stream), streamed through the driver; columns missing in a row get an empty cell.
+
+    ``encoders`` give the text of a field's values in place of ``text``.
+    """
+    shown = encoders or {}
     names, style = headers(df.schema), styling or Styling()
 
     def feed(out: Any) -> None:
@@ -92,7 +105,7 @@ def write_file(
         out.write(tr_tag.open() + "".join(th_tag.open(style.of_header(n)) + html.escape(naming(n)) + th_tag.close() for n in names) + tr_tag.close())
         for record in df.toLocalIterator(prefetchPartitions=True):
             for row in table_rows(record, df.schema):
-                cells = (td_tag.open(style.of_field(n)) + html.escape(text(row.get(n)), quote=False) + td_tag.close() for n in names)
+                cells = (td_tag.open(style.of_field(n)) + html.escape(shown.get(n, text)(row.get(n)), quote=False) + td_tag.close() for n in names)
                 out.write(tr_tag.open() + "".join(cells) + tr_tag.close())
         out.write(table_tag.close() + body_tag.close() + html_tag.close())
 

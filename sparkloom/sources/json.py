@@ -22,7 +22,7 @@ def read(spark: SparkSession, cls: Any, paths: str | Sequence[str], lines: bool
 
 
 def read_directory(spark: SparkSession, cls: Any, root: str, pattern: str = "*", lines: bool = True, max_depth: int = 20) -> DataFrame:
-    return read(spark, cls, files.directory(root, pattern, max_depth), lines)
+    return read(spark, cls, files.directory(spark, root, pattern, max_depth), lines)
 
 
 def read_url(spark: SparkSession, cls: Any, url: str, lines: bool = True) -> DataFrame:

@@ -98,19 +98,19 @@ def spark_schema(cls: Any) -> T.StructType:
     return T.StructType([T.StructField(f.name, kind(hints[f.name])) for f in dataclasses.fields(cls)])
 
 
-def _parsed(text: Column, leaf: Leaf, parsers: dict[Any, Parser]) -> tuple[Column, Column]:
-    """(value, whether it can't be read)."""
+def _parsed(text: Column, leaf: Leaf, parsers: dict[Any, Parser]) -> tuple[Column, Column, bool]:
+    """(value, whether it can't be read, False), or (value, why it can't be read as text, True)."""
     if leaf.path in parsers or leaf.kind in parsers:
         value = (parsers.get(leaf.path) or parsers[leaf.kind])(text)
-        return value, value.isNull()
+        return (*value, True) if isinstance(value, tuple) else (value, value.isNull(), False)
     if leaf.kind is uuid.UUID:
-        return F.lower(text), ~text.rlike(_UUID)
+        return F.lower(text), ~text.rlike(_UUID), False
     if isinstance(leaf.kind, type) and issubclass(leaf.kind, enum.Enum):
-        return text, ~text.isin(*leaf.kind.__members__)
+        return text, ~text.isin(*leaf.kind.__members__), False
     if leaf.kind is str:
-        return text, F.lit(False)
+        return text, F.lit(False), False
     value = F.trim(text).try_cast(leaf.spark)
-    return value, value.isNull()
+    return value, value.isNull(), False
 
 
 def decode(rows: DataFrame, schema: Record, cell: Callable[[Leaf], Column | None], parsers: dict[Any, Parser] | None = None, strict: bool = True, errors: str = "errors") -> DataFrame:
@@ -137,10 +137,11 @@ def decode(rows: DataFrame, schema: Record, cell: Callable[[Leaf], Column | None
             problems.append(F.when(~excused & ~F.lit(node.optional), F.lit(f"{node.path}: field not found")))
             return F.lit(None).cast(node.spark), F.lit(True)
         raw = F.coalesce(text, F.lit("")) if node.kind is str and not node.optional else text
-        value, bad = _parsed(raw, node, parsers or {})
+        value, bad, told = _parsed(raw, node, parsers or {})
         if node.kind is not str and not node.optional:
             problems.append(F.when(~excused & absent, F.lit(f"{node.path}: field not found")))
-        problems.append(F.when(~excused & ~absent & bad, F.concat(F.lit(f"{node.path}: can't read "), F.coalesce(raw, F.lit("")))))
+        why = bad if told else F.when(bad, F.concat(F.lit("can't read "), F.coalesce(raw, F.lit(""))))
+        problems.append(F.when(~excused & ~absent & why.isNotNull(), F.concat(F.lit(f"{node.path}: "), why)))
         return (value if node.kind is str and not node.optional else F.when(~absent, value)), absent
 
     def _absent(leaf: Leaf) -> Column:

@@ -1,11 +1,15 @@
+import datetime as dt
+import math
 import operator
+import random
+import statistics
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sparkloom.operators import explore, results
-from sparkloom.operators.query import inputs, is_in, lag, of, rank, row_number, same, select, values
+from sparkloom.operators.query import inputs, is_in, lag, of, rank, ranking, row_number, same, select, values
 from sparkloom.operators.results import SideEffect
 
 few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -162,14 +166,19 @@ def test_accumulate(spark):
 # exploration
 
 
-def test_describe_golden(spark):
-    students = [("Harry", 19, "Gryffindor", 85.1, "1980-07-31"), ("Ron", 18, "Gryffindor", 66.2, "1980-05-01"), ("Hermione", 18, "Gryffindor", 99.6, "1979-09-17"), ("Draco", 18, "Slytherin", 85.1, "1980-06-05"), ("Cedric", 17, "Hufflepuff", 90.1, "1977-10-01")]
-    df = spark.createDataFrame(students, "name string, age int, faculty string, grade double, born string").withColumn("born", F.col("born").cast("date"))
+def test_describe_against_statistics(spark):
+    rng = random.Random(3)
+    rows = [(f"pump {i}", rng.randint(1, 9), rng.choice(["north", "east", "yard"]), round(rng.uniform(1, 400), 1), dt.date(2021, 1, 1) + dt.timedelta(days=rng.randint(0, 900))) for i in range(41)]
+    df = spark.createDataFrame(rows, "name string, stage int, site string, pressure double, checked date")
     got = {r.field: r for r in explore.describe(df, unique=True).collect()}
-    assert tuple(got["grade"])[1:9] == ("5", "85.22", "10.88474", "66.2", "85.1", "90.1", "99.6", "99.6")
-    assert tuple(got["age"])[1:9] == ("5", "18.0", "0.6324555", "17.0", "18.0", "18.0", "19.0", "19.0")
-    assert (got["born"]["min"], got["born"]["max"], got["born"]["mean"]) == ("1977-10-01", "1980-07-31", None)
-    assert got["faculty"].unique == ["Gryffindor", "Hufflepuff", "Slytherin"]
+    for field, k in (("stage", 1), ("pressure", 3)):
+        values = sorted(float(r[k]) for r in rows)
+        ranked = [values[math.ceil(len(values) * q / 100) - 1] for q in (25, 75, 90)]
+        want = [statistics.fmean(values), statistics.pstdev(values), values[0], *ranked, values[-1]]
+        assert got[field]["count"] == "41" and [float(x) for x in tuple(got[field])[2:9]] == pytest.approx(want, rel=1e-6)
+    days = sorted(r[4] for r in rows)
+    assert (got["checked"]["min"], got["checked"]["max"], got["checked"]["mean"]) == (str(days[0]), str(days[-1]), None)
+    assert got["site"].unique == ["east", "north", "yard"]
     assert explore.describe(df.where("false")).count() == 0
 
 
@@ -215,3 +224,14 @@ def test_side_effect_contract(people):
     seen = []
     results.foreach(query, lambda row: seen.append(row["name"])).run(people)
     assert sorted(seen) == ["ann", "bob", "cid", "dan", "eve"]
+
+
+def test_own_rankings_and_windows_in_one_call(people):
+    q = select("people").window(lambda a: {"d": ranking(F.dense_rank), "next": ranking(F.lead, lambda p: p.name), "half": ranking(lambda: F.ntile(2))})
+    got = q.over(partition_by=lambda p: p.team, order_by=[lambda p: p.name]).map(lambda p: {"name": p.name, "d": p.d, "next": p["next"], "half": p.half})
+    assert rows(got, people) == [("ann", 1, "bob", 1), ("bob", 2, None, 2), ("cid", 1, None, 1), ("dan", 1, "eve", 1), ("eve", 2, None, 2)]
+
+
+def test_deduplicate_by_with_a_map(spark):
+    df = spark.createDataFrame([(1, {"a": 1}), (1, {"a": 0}), (2, {})], "k int, m map<string,int>")
+    assert rows(of(df).deduplicate_by(lambda r: r.k, lambda r: r.k)) == [(1, {"a": 0}), (2, {})]

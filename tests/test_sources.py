@@ -2,6 +2,7 @@ import dataclasses
 import datetime as dt
 import enum
 import io
+import re
 import uuid
 import zipfile
 from decimal import Decimal
@@ -19,23 +20,23 @@ class Color(enum.Enum):
 
 
 @dataclasses.dataclass
-class Info:
-    name: str
-    workingExperienceYears: int
-    birthDay: dt.date
-    isProgrammer: bool
+class Load:
+    label: str
+    weightInGrams: int
+    packedOn: dt.date
+    fragile: bool
 
 
 @dataclasses.dataclass
-class Metadata:
-    id: uuid.UUID
-    createdAt: dt.datetime
+class Seal:
+    code: uuid.UUID
+    closedAt: dt.datetime
 
 
 @dataclasses.dataclass
-class PersonInfo:
-    info: Info
-    metadata: Metadata | None
+class Crate:
+    load: Load
+    seal: Seal | None
 
 
 @dataclasses.dataclass
@@ -50,9 +51,10 @@ class Painted:
     price: Decimal
 
 
-TEXT = """name,working_experience_years,birth_day,is_programmer,id,created_at
-Maria,100500,1997-11-13,true,2769a48d-8fec-4242-81d1-959ae424712c,2022-06-15T12:55
-John,2000,1922-07-16,true,,
+SEAL = uuid.UUID(int=0x5EA1)
+CRATES = f"""label,weight_in_grams,packed_on,fragile,code,closed_at
+anvil,84000,2020-02-29,false,,
+glass eyes,310,2019-12-31,true,{SEAL},2020-01-01T23:59
 """
 
 
@@ -68,9 +70,9 @@ def test_naming(strategy, want):
 
 
 def test_csv_nested_and_optional(spark):
-    got = csv.read(spark, PersonInfo).option(naming=naming.snake_case).string(TEXT).orderBy("info.name").collect()
-    assert got[0].info.workingExperienceYears == 2000 and got[0].metadata is None
-    assert got[1].metadata.id == "2769a48d-8fec-4242-81d1-959ae424712c" and got[1].metadata.createdAt == dt.datetime(2022, 6, 15, 12, 55)
+    anvil, eyes = csv.read(spark, Crate).option(naming=naming.snake_case).string(CRATES).orderBy("load.label").collect()
+    assert anvil.load.weightInGrams == 84000 and anvil.seal is None
+    assert eyes.seal.code == str(SEAL) and eyes.seal.closedAt == dt.datetime(2020, 1, 1, 23, 59)
 
 
 def test_csv_header_order_case_and_empty_cells(spark):
@@ -81,11 +83,11 @@ def test_csv_header_order_case_and_empty_cells(spark):
 
 
 def test_csv_errors_are_gathered(spark):
-    bad = "name,working_experience_years,birth_day,is_programmer,id,created_at\nx,many,someday,,no-id,\n"
-    reader = csv.read(spark, PersonInfo).option(naming=naming.snake_case)
+    bad = "label,weight_in_grams,packed_on,fragile,code,closed_at\nx,heavy,yesterday,,broken,\n"
+    reader = csv.read(spark, Crate).option(naming=naming.snake_case)
     with pytest.raises(PySparkException) as e:
         reader.string(bad).collect()
-    for path in ("info.workingExperienceYears: can't read many", "info.birthDay: can't read someday", "info.isProgrammer: field not found", "metadata.id: can't read", "metadata.createdAt: field not found"):
+    for path in ("load.weightInGrams: can't read heavy", "load.packedOn: can't read yesterday", "load.fragile: field not found", "seal.code: can't read", "seal.closedAt: field not found"):
         assert path in str(e.value)
     assert len(reader.lenient().string(bad).collect()[0].errors) == 5
 
@@ -104,7 +106,7 @@ def test_csv_files_directory_and_tsv(spark, tmp_path):
     (tmp_path / "a/1.csv").write_text("name,age\nx,1\n")
     (tmp_path / "2.csv").write_text("age,name\n2,y\n")
     (tmp_path / "3.txt").write_text("nothing")
-    assert files.directory(str(tmp_path), "*.csv", 1) == [str(tmp_path / "2.csv"), str(tmp_path / "a/1.csv")] and files.directory(str(tmp_path), "*.csv", 0) == [str(tmp_path / "2.csv")]
+    assert files.directory(spark, str(tmp_path), "*.csv", 1) == [str(tmp_path / "2.csv"), str(tmp_path / "a/1.csv")] and files.directory(spark, str(tmp_path), "*.csv", 0) == [str(tmp_path / "2.csv")]
     got = csv.read(spark, Person).directory(str(tmp_path), "*.csv").collect()
     assert sorted((r["name"], r.age) for r in got) == [("x", 1), ("y", 2)]
     (tmp_path / "t.tsv").write_text('name\tage\n"q\t3\n')
@@ -149,17 +151,19 @@ def test_json(spark, tmp_path):
 
 def test_excel_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
-        [("Ann", 5, dt.date(1997, 11, 13), True, ("2769a48d-8fec-4242-81d1-959ae424712c", dt.datetime(2022, 6, 15, 12, 55))), ("<&>", 6, dt.date(1922, 7, 16), False, None)],
-        "name string, workingExperienceYears bigint, birthDay date, isProgrammer boolean, metadata struct<id:string,createdAt:timestamp_ntz>",
+        [("anvil", 84000, dt.date(2020, 2, 29), False, None), ("<&>", 310, dt.date(2019, 12, 31), True, (str(SEAL), dt.datetime(2020, 1, 1, 23, 59)))],
+        "label string, weightInGrams bigint, packedOn date, fragile boolean, seal struct<code:string,closedAt:timestamp_ntz>",
     )
-    wanted = df.select(F.struct("name", "workingExperienceYears", "birthDay", "isProgrammer").alias("info"), "metadata")
-    style = html.Styling().for_all_headers({"font-weight": "bold", "background-color": "FFFF00"}).for_field("name", {"color": "ff0000"})
+    wanted = df.select(F.struct("label", "weightInGrams", "packedOn", "fragile").alias("load"), "seal")
+    style = html.Styling().for_all_headers({"font-weight": "bold", "background-color": "FFFF00"}).for_field("label", {"color": "ff0000"})
     path = str(tmp_path / "a.xlsx")
-    excel.write_file(wanted, path, sheet="People", header=True, naming=naming.with_spaces_capitalize, styling=style)
-    named = excel.read(spark, PersonInfo).option(by_name=True, naming=naming.with_spaces_capitalize, sheet="People").file(path)
+    excel.write_file(wanted, path, sheet="Crates", header=True, naming=naming.with_spaces_capitalize, styling=style)
+    named = excel.read(spark, Crate).option(by_name=True, naming=naming.with_spaces_capitalize, sheet="Crates").file(path)
     assert sorted(named.collect(), key=str) == sorted(wanted.collect(), key=str)
     excel.write_file(wanted, path)
-    assert sorted(excel.read(spark, PersonInfo).file(path).collect(), key=str) == sorted(wanted.collect(), key=str)
+    assert sorted(excel.read(spark, Crate).file(path).collect(), key=str) == sorted(wanted.collect(), key=str)
+    with open(path, "rb") as book:
+        assert excel.read(spark, Crate).bytes(book.read()).count() == excel.read(spark, Crate).url(f"file://{path}").count() == 2
     with zipfile.ZipFile(path) as z:
         assert "xl/worksheets/sheet1.xml" in z.namelist()
 
@@ -195,3 +199,26 @@ def test_html(spark):
     out = io.StringIO()
     html.write_file(df, out, naming=naming.with_spaces_capitalize, styling=style, tr_tag=html.Tag("tr", {"border": "0"}))
     assert '<th style="background-color: green;">Birth Year</th>' in out.getvalue() and '<td style="color: red;">x</td>' in out.getvalue() and '<td style="border: 1px;"></td>' in out.getvalue()
+
+
+@pytest.mark.parametrize(
+    ("pattern", "path", "fits"),
+    [("*.csv", "a.csv", True), ("*.csv", "a/b.csv", False), ("/d/**/x?.csv", "/d/x1.csv", True), ("/d/**/x?.csv", "/d/e/f/x1.csv", True), ("/d/**", "/d/e/f", True), ("a{1,2}.[x]", "a2.[x]", True), ("a,b", "a,b", True), ("a{1,2}", "a3", False)],
+)
+def test_globs(pattern, path, fits):
+    assert bool(re.fullmatch(files.glob_expression(pattern), path)) == fits
+
+
+def test_parser_with_its_own_error(spark):
+    def price(c):
+        value = F.regexp_replace(c, "[^0-9.]", "").try_cast("decimal(38,18)")
+        return value, F.when(value.isNull(), F.concat(F.lit("no price in "), c)).when(value > 99, "too dear")
+
+    reader = csv.read(spark, Painted).parser("price", price).lenient()
+    got = reader.string("color,price\nRED,$ 5\nRED,gratis\nBLUE,100\n").collect()
+    assert [list(r.errors) for r in got] == [[], ["price: no price in gratis"], ["price: too dear"]]
+
+
+def test_styles_add_to_defaults():
+    style = html.Styling().for_all_fields({"color": "red"}).add_field("a.b[].price", {"font-weight": "bold"}).add_header("price", {"color": "blue"})
+    assert style.of_field("price") == {"color": "red", "font-weight": "bold"} and style.of_field("other") == {"color": "red"} and style.of_header("price") == {"color": "blue"}
