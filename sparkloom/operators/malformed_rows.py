@@ -1,12 +1,13 @@
 """Rows that fail to parse: split the records of delimited files into loaded and refused ones.
 
 From the schema one anchored expression per whole row is generated. A row that matches it is loaded.
-Every other row goes through prefix patterns that grow by one field, and the first prefix that does not
-match names the first broken field. The prefixes run in three tiers, as the reasons are ranked:
+Every other row goes through prefix patterns that grow by one field, and the first one that decides names
+the reason and the first broken field. The prefixes run in two tiers, as the reasons are ranked. The first only splits fields:
 
-* ``quotes``: fields are only split; the record itself is not well formed,
-* ``columns``: well formed, with another number of fields than the schema,
-* the reason of the typed field (``year``, ``value``) whose typed prefix fails first.
+* ``quotes``: the prefix up to a field doesn't match, or what follows the last field of the schema isn't fields,
+* ``columns``: the row ends with a prefix that is shorter than the schema, or goes on with fields behind it.
+
+The second tests what the fields hold: the reason is that of the typed field (``year``, ``value``) whose prefix fails first.
 
 All of it is JVM-side regular expressions with possessive quantifiers, so very long fields neither
 backtrack nor overflow the stack; there is no shuffle.
@@ -79,24 +80,34 @@ class RowGrammar:
         """The whole row, typed."""
         return rf"\A{','.join(f.written for f in self.fields)}\z"
 
-    @property
-    def well_formed(self) -> str:
-        return rf"\A{FIELD}(?:,{FIELD})*+\z"
+    def prefix(self, k: int, typed: bool = False, end: str = r"(?:,|\z)") -> str:
+        """The first k + 1 fields, up to a comma or the end of the row."""
+        return rf"\A{','.join(f.written if typed else FIELD for f in self.fields[: k + 1])}{end}"
 
     @property
-    def counted(self) -> str:
-        return rf"\A{FIELD}(?:,{FIELD}){{{len(self.fields) - 1}}}\z"
-
-    def prefixes(self, typed: bool) -> list[str]:
-        """Patterns for the first 1, 2, ... fields, each up to the next comma or the end."""
-        parts = [f.written if typed else FIELD for f in self.fields]
-        return [rf"\A{','.join(parts[: k + 1])}(?:,|\z)" for k in range(len(parts))]
-
-    def first_broken(self, raw: Column, typed: bool) -> Column:
-        """Index of the first field whose prefix fails; the number of fields if none does."""
-        found = F.lit(len(self.fields))
-        for k, prefix in reversed(list(enumerate(self.prefixes(typed)))):
-            found = F.when(~raw.rlike(prefix), F.lit(k)).otherwise(found)
+    def longer(self) -> str:
+        """More fields than the schema has."""
+        return rf"{self.prefix(len(self.fields) - 1, end='')}(?:,{FIELD})++\z"
+
+    def verdict(self, raw: Column) -> Column:
+        """reason and broken_field of a row that doesn't match ``row``; the first prefix that decides ends the search."""
+        n = len(self.fields)
+        names = [*(f.name for f in self.fields), "beyond the last field"]
+
+        def of(reason: str, k: int) -> Column:
+            return F.struct(F.lit(reason).alias("reason"), F.lit(names[k]).alias("broken_field"))
+
+        steps = []
+        for k in range(n):
+            steps.append((~raw.rlike(self.prefix(k)), of("quotes", k)))
+            if k < n - 1:
+                steps.append((raw.rlike(self.prefix(k, end=r"\z")), of("columns", k + 1)))
+        steps.append((raw.rlike(self.longer), of("columns", n)))
+        steps.append((~raw.rlike(self.prefix(n - 1, end=r"\z")), of("quotes", n)))
+        steps += [(~raw.rlike(self.prefix(k, typed=True)), of(f.reason, k)) for k, f in enumerate(self.fields) if f.content is not None]
+        found = F.when(*steps[0])
+        for step in steps[1:]:
+            found = found.when(*step)
         return found
 
 
@@ -110,31 +121,12 @@ def parse_records(
     """Every record that is neither header nor blank, with ``reason`` and ``broken_field`` (null if it loads)
     and ``cells``, the unquoted field contents of a row that loads."""
     grammar = RowGrammar(tuple(fields))
-    names = F.array(*[F.lit(f.name) for f in fields], F.lit("beyond the last field"))
-    reasons = F.array(*[F.lit(f.reason) for f in fields], F.lit(""))
     text = F.col("_raw")
     rows = records.select(*keep, F.col(raw).alias("_raw"), *([F.col(line_no).alias("_line_no")] if line_no else []))
     if line_no:
         rows = rows.where(F.coalesce(F.col("_line_no") != 1, F.lit(True)))
     rows = rows.where(text.rlike(r"[^\s\p{Z}]"))
-    fields_seen = F.size(F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(rf",({FIELD})"), F.lit(1)))
-    verdict = (
-        F.when(text.rlike(grammar.row), F.lit(None))
-        .when(
-            ~text.rlike(grammar.well_formed),
-            F.struct(F.lit("quotes").alias("reason"), F.element_at(names, grammar.first_broken(text, False) + 1).alias("broken_field")),
-        )
-        .when(
-            ~text.rlike(grammar.counted),
-            F.struct(F.lit("columns").alias("reason"), F.element_at(names, F.least(fields_seen, F.lit(len(fields))) + 1).alias("broken_field")),
-        )
-        .otherwise(
-            F.struct(
-                F.element_at(reasons, grammar.first_broken(text, True) + 1).alias("reason"),
-                F.element_at(names, grammar.first_broken(text, True) + 1).alias("broken_field"),
-            )
-        )
-    )
+    verdict = F.when(~text.rlike(grammar.row), grammar.verdict(text))
     written = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(rf",({FIELD})"), F.lit(1))
     unquoted = F.transform(
         written,
