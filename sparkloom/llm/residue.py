@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import cut
+from sparkloom.runtime import cut, source_bytes
 
 #: Sizes of the hashed spaces of words and of pairs of words, and so of the model.
 WORDS, PAIRS = 1 << 18, 1 << 19
@@ -458,8 +458,7 @@ def _expected(table: DataFrame, model: NaiveBayes | None, hide: float, weight: f
         yield pa.RecordBatch.from_pydict({"entry": seen.astype(np.int32), "positive": positive[seen], "negative": negative[seen]})
 
     spark = table.sparkSession
-    read = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
-    tasks = max(4 * spark.sparkContext.defaultParallelism, min(read // TASK_BYTES, 1 << 30))  # an unknown size reads as very large; each gives off as many rows as the model has entries at most
+    tasks = max(4 * spark.sparkContext.defaultParallelism, source_bytes(table) // TASK_BYTES)  # each gives off as many rows as the model has entries at most
     counts = table.select("tokens").coalesce(tasks).mapInArrow(count, "entry int, positive double, negative double")
     got = counts.groupBy("entry").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative")).toPandas()
     positive, negative = np.zeros(size), np.zeros(size)
