@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.runtime import cut
-
 _ORDERED = (T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Columns of a description, all strings but the last.
 DESCRIPTION = ("field", "count", "mean", "std", "min", "percentile25", "percentile75", "percentile90", "max")
@@ -28,49 +26,57 @@ def leaves(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataType
     return out
 
 
-#: Distinct values of a column up to which its percentiles are taken from one list of counts; beyond it from sorted ranges.
-DISTINCT_IN_ONE_LIST = 50_000
 _PERCENTS = (25, 75, 90)
+#: Parts of a range of values that is looked into, and of the first ranges one to the factor e.
+FINE, COARSE = 1 << 16, 1 << 10
 
 
-def exact_percentiles(df: DataFrame, column: Column, percents: tuple[int, ...] = _PERCENTS) -> list[float | None]:
-    """Nearest-rank percentiles of a numeric column of any size.
+def exact_percentiles(df: DataFrame, paths: dict[int, str], percents: tuple[int, ...] = _PERCENTS) -> dict[int, list[float | None]]:
+    """Nearest-rank percentiles of numeric columns of any size and spread, exact, without sorting or shuffling values.
 
-    Equal values are counted first, so no value is hot; the values are sorted in ranges, the range that holds a
-    rank follows from the ranges' counts, and only that range is looked into.
+    A pass counts the values of all columns in ranges: first by sign and logarithm, then the ranges that hold a wanted rank in
+    ``FINE`` equal parts, until each of those holds one value only. As each pass narrows a range by some 2^16 and a double has 52
+    bits behind its first, at most six passes are made; a task holds the counts of its ranges. NaN is the greatest value.
     """
-    x = F.col("_x")
-    counted = df.select(column.cast("double").alias("_x")).where(x.isNotNull()).groupBy("_x").agg(F.count(F.lit(1)).alias("n"))
-    ranged = cut(counted.repartitionByRange(x).withColumn("part", F.spark_partition_id()))
-    parts = ranged.groupBy("part").agg(F.sum("n").alias("n"), F.min("_x").alias("first")).orderBy("first").collect()  # one row per range
-    total, found = sum(p.n for p in parts), []
-    for percent in percents:
-        rank, below = max(1, -(-total * percent // 100)), 0
-        for p in parts:
-            if below + p.n >= rank:
-                upto = F.sum("n").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(below)
-                found.append(ranged.where(F.col("part") == p.part).withColumn("upto", upto).where(F.col("upto") >= rank).agg(F.min("_x")).collect()[0][0])
-                break
-            below += p.n
-    return found or [None] * len(percents)
-
-
-def counted_percentiles(df: DataFrame, paths: dict[int, str], percents: tuple[int, ...] = _PERCENTS) -> dict[int, list[float | None]]:
-    """Nearest-rank percentiles of columns with few distinct values, all in one pass over the counts of their values."""
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(p).cast("double").alias("x")) for i, p in paths.items()])
-    counted = df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("x").isNotNull()).groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("i")
-    placed = counted.withColumn("upto", F.sum("n").over(by.orderBy("x"))).withColumn("all", F.sum("n").over(by))
-    rank = [F.greatest(F.lit(1), F.ceil(F.col("all") * q / 100)) for q in percents]
-    got = placed.groupBy("i").agg(*[F.min(F.when(F.col("upto") >= r, F.col("x"))).alias(f"p{k}") for k, r in enumerate(rank)]).collect()
-    return {i: [None] * len(percents) for i in paths} | {r.i: [r[f"p{k}"] for k in range(len(percents))] for r in got}
-
-
-def measures(df: DataFrame, accuracy: int | None = None, unique: bool = False, in_one_list: int = DISTINCT_IN_ONE_LIST) -> DataFrame:
+    x, n = F.col("x"), F.col("n")
+
+    def chosen(cells: list[Column], bucket: Column, ranks: Column) -> list:
+        """Per wanted rank, with its range ``j`` and percent ``k``, the part that holds it."""
+        opened = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(x.isNotNull())
+        counted = opened.groupBy("i", "j", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        by = Window.partitionBy("i", "j")
+        placed = counted.withColumn("upto", F.sum("n").over(by.orderBy("b"))).withColumn("all", F.sum("n").over(by)).withColumn("w", F.explode(ranks))
+        rank = F.when(F.col("w.rank") > 0, F.col("w.rank")).otherwise(F.greatest(F.lit(1).cast("bigint"), F.floor((F.col("all") * F.col("w.percent") + 99) / 100)))
+        held = placed.withColumn("rank", rank).where((F.col("w.j") == F.col("j")) & (F.col("upto") >= F.col("rank")) & (F.col("upto") - n < F.col("rank")))
+        return held.select("i", F.col("w.k").alias("k"), "lo", "hi", (F.col("rank") - F.col("upto") + n).alias("rank")).collect()  # one row per column and percent
+
+    def wanted(j: int, k: int, rank: int) -> Column:
+        return F.struct(F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit(percents[k]).alias("percent"), F.lit(rank).cast("bigint").alias("rank"))
+
+    value = {i: F.col(p).cast("double") for i, p in paths.items()}
+    size = F.floor(F.log(F.abs(x)) * COARSE) + 1_000_000
+    coarse = F.when(F.isnan(x), 3_000_000).when(F.abs(x) == float("inf"), F.signum(x) * 2_500_000).when(x == 0, 0).otherwise(F.signum(x) * size)
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(0).alias("j"), v.alias("x")) for i, v in value.items()]
+    found = chosen(cells, coarse.cast("bigint"), F.array(*[wanted(0, k, 0) for k in range(len(percents))]))
+    out: dict[int, list[float | None]] = {i: [None] * len(percents) for i in paths}
+    while found:
+        for r in found:
+            out[r.i][r.k] = r.lo
+        wide = [r for r in found if r.lo < r.hi]
+        ranges = sorted({(r.i, r.lo, r.hi) for r in wide})
+        if not ranges:
+            break
+        cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(value[i].between(lo, hi), value[i]).alias("x"), F.lit(lo).alias("from"), F.lit(hi).alias("to")) for j, (i, lo, hi) in enumerate(ranges)]
+        width = F.col("to") / FINE - F.col("from") / FINE
+        fine = F.when(width == 0, (x > F.col("from")).cast("bigint")).otherwise(F.floor((x - F.col("from")) / width).cast("bigint"))
+        found = chosen(cells, fine, F.array(*[wanted(ranges.index((r.i, r.lo, r.hi)), r.k, r.rank) for r in wide]))
+    return out
+
+
+def measures(df: DataFrame, accuracy: int | None = None, unique: bool = False) -> DataFrame:
     """Unformatted measures, one row per field that has a value: field, count, mean, std, min, percentiles, max, unique.
 
-    All fields are measured in one pass. Percentiles are nearest rank and exact, by a second pass; for columns with
-    more than about ``in_one_list`` distinct values by sorted ranges. With ``accuracy`` they are approximate, with
+    All fields are measured in one pass. Percentiles are nearest rank and exact, by a few more when this is called. With ``accuracy`` they are approximate, with
     rank error 1/accuracy, in the first pass. Nulls don't count and arrays are left out. An empty table gives no rows.
     """
     none = F.lit(None)
@@ -80,11 +86,7 @@ def measures(df: DataFrame, accuracy: int | None = None, unique: bool = False, i
     if accuracy:
         percentiles = {i: [F.percentile_approx(F.col(p).cast("double"), q / 100, accuracy) for q in _PERCENTS] for i, p in numeric.items()}
     elif numeric:
-        sizes = df.agg(*[F.approx_count_distinct(F.col(p)).alias(f"_{i}") for i, p in numeric.items()]).collect()[0]
-        few = {i: p for i, p in numeric.items() if sizes[f"_{i}"] <= in_one_list}
-        found = counted_percentiles(df, few) if few else {}
-        for i, p in numeric.items():
-            percentiles[i] = [F.lit(v) for v in (found[i] if i in found else exact_percentiles(df, F.col(p)))]
+        percentiles = {i: [F.lit(v) for v in found] for i, found in exact_percentiles(df, numeric).items()}
     aggregates, records = [], []
     for i, path, kind in fields:
         ordered = i in numeric or isinstance(kind, _ORDERED)

@@ -182,13 +182,27 @@ def test_describe_against_statistics(spark):
     assert explore.describe(df.where("false")).count() == 0
 
 
-def test_percentiles_by_sorted_ranges(spark):
-    df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id * 7919 % 1009 END AS x", "CAST(NULL AS INT) AS y")
-    values = sorted(r.x for r in df.collect())
-    want = [float(values[-(-len(values) * q // 100) - 1]) for q in (25, 75, 90)]
-    assert explore.exact_percentiles(df, F.col("x")) == want and explore.exact_percentiles(df, F.col("y")) == [None] * 3
-    both = [[r["percentile25"], r["percentile75"], r["percentile90"]] for limit in (1, 10**6) for r in explore.measures(df, in_one_list=limit).collect()]
-    assert [[float(v) for v in b] for b in both] == [want, want]
+def test_exact_percentiles(spark):
+    rng = random.Random(9)
+    inf, nan = math.inf, math.nan
+    columns = {
+        0: [7.0 if i % 3 == 0 else float(i * 7919 % 1009) for i in range(5000)],
+        1: [None] * 5000,
+        2: [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(5000)],
+        3: [1 + rng.randint(0, 4000) * 2.0**-52 for _ in range(5000)],
+        4: [rng.choice([-inf, inf, 0.0, -1.5]) for _ in range(5000)],
+        5: [nan if i % 5 == 0 else float(i) for i in range(5000)],
+        6: [5e-324 * rng.randint(0, 50) for _ in range(5000)],
+        7: [None if i else -3.0 for i in range(5000)],
+        8: [rng.choice([-1.7e308, 1.7e308]) * rng.random() for _ in range(5000)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"c{i} double" for i in columns))
+    got = explore.exact_percentiles(df, {i: f"c{i}" for i in columns}, (1, 25, 50, 90, 100))
+    for i, column in columns.items():
+        values = sorted((v for v in column if v is not None), key=lambda v: (math.isnan(v), v))
+        want = [values[max(1, math.ceil(len(values) * q / 100)) - 1] if values else None for q in (1, 25, 50, 90, 100)]
+        assert repr(got[i]) == repr(want), i
+    assert explore.exact_percentiles(df.where("false"), {0: "c0"}) == {0: [None] * 3}
 
 
 def test_show(spark, people):
