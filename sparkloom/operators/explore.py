@@ -121,9 +121,11 @@ def round_plain(value: float | str | None, digits: int = 7) -> str | None:
     return str(rounded)
 
 
-def describe(df: DataFrame, digits: int = 7, unique: bool = False, accuracy: int | None = None) -> DataFrame:
+def describe(df: DataFrame, digits: int = 7, unique: bool = False, accuracy: int | None = None, full_names: bool = True) -> DataFrame:
     """The description of a table: DESCRIPTION as strings and ``unique``, the distinct values of text fields.
 
+    Fields of nested records go by their path, or without ``full_names`` by their own name.
+
     ``unique`` gathers a text field's distinct values in one row; leave it out for fields with very many.
     """
     plain = F.udf(lambda v: round_plain(v, digits), "string")
@@ -133,7 +135,8 @@ def describe(df: DataFrame, digits: int = 7, unique: bool = False, accuracy: int
         return F.when(F.col("numeric"), plain(F.col(name).try_cast("double"))).otherwise(F.col(name).cast("string")).alias(name)
 
     values = F.coalesce("unique", F.array().cast("array<string>")).alias("unique")
-    return m.select("field", F.col("count").cast("string").alias("count"), *[shown(n) for n in DESCRIPTION[2:]], values)
+    name = F.col("field") if full_names else F.substring_index("field", ".", -1).alias("field")
+    return m.select(name, F.col("count").cast("string").alias("count"), *[shown(n) for n in DESCRIPTION[2:]], values)
 
 
 _WIDE = {"W", "F"}

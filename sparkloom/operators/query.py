@@ -231,6 +231,21 @@ class Query:
 
     # --- stateful
 
+    def running(self, f: Callable[[Builder], dict[str, Any]], order: Callable | Iterable[Callable], *keys: Callable) -> Query:
+        """``stateful_map`` for states that are aggregates: each row with the aggregates of all rows of its key up to it, without Python.
+
+        Rows that are equal in ``order`` come one after the other, in any order. Without a key all rows go through one task.
+        """
+
+        def build(r: Relation, _: Inputs) -> Relation:
+            row = r.row
+            by = [c for o in ((order,) if callable(order) else order) for c in columns_of(call(o, row))]
+            upto = Window.partitionBy(*[c for k in keys for c in columns_of(call(k, row))]).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            added = {name: a(row, lambda c: c.over(upto)) for name, a in f(Builder()).items()}
+            return r.project({**dict(zip(r.shape.fields, row, strict=True)), **added})
+
+        return self._then(build, "RUNNING")
+
     def stateful_map(self, zero: Callable[[], Any], step: Callable, schema: str, order: Callable, key: Callable | None = None) -> Query:
         """Running state, one row out per row: ``step(state, row) -> (state, row out)``; rows are dicts."""
         return self.stateful_map_concat(zero, lambda s, r: (lambda t: (t[0], [t[1]]))(step(s, r)), schema, order, key, "STATEFUL_MAP")

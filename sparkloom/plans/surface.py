@@ -122,6 +122,13 @@ def accumulate_in_order() -> Query:
     )
 
 
+@query("SELECT event_id, round(sum(value) OVER w, 4) AS total, count(*) OVER w AS n, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+def running_aggregates() -> Query:
+    """States that are aggregates, as windows."""
+    q = select("events").running(lambda a: {"total": a.sum_by(lambda e: e.value), "n": a.size(), "most": a.max_of(lambda e: e.value)}, lambda e: e.ts, lambda e: e.user_id)
+    return q.map(lambda e: {"event_id": e.event_id, "total": F.round(e.total, 4), "n": e.n, "most": e.most})
+
+
 # --- results
 
 

@@ -11,7 +11,7 @@ import datetime as dt
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
@@ -49,13 +49,17 @@ def column_letters(n: int) -> str:
     return out
 
 
-def parse(content: bytes, sheet: int | str = 0, evaluate_formulas: bool = False) -> list[list[str | None]]:
-    """The cells of a sheet as texts; blank rows are left out. A formula not evaluated reads ``=formula``."""
+def parse(content: bytes, sheet: int | str | Callable[[list[str]], str] = 0, evaluate_formulas: bool = False) -> list[list[str | None]]:
+    """The cells of a sheet as texts; blank rows are left out. A formula not evaluated reads ``=formula``.
+
+    The sheet is given by its place, its name, or a function that chooses one of the names.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         book = ET.fromstring(z.read("xl/workbook.xml"))
         targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         sheets = [(s.get("name"), targets[s.get(f"{_REL}id")]) for s in book.iter(f"{_MAIN}sheet")]
-        name, target = sheets[sheet] if isinstance(sheet, int) else next(s for s in sheets if s[0] == sheet)
+        chosen = sheet([n for n, _ in sheets]) if callable(sheet) else sheet
+        name, target = sheets[chosen] if isinstance(chosen, int) else next(s for s in sheets if s[0] == chosen)
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
@@ -90,7 +94,7 @@ class Reader:
     cls: Any
     by_name: bool = False
     naming: Naming = literal
-    sheet: int | str = 0
+    sheet: int | str | Callable[[list[str]], str] = 0
     evaluate_formulas: bool = False
     parsers: dict[Any, Parser] = dataclasses.field(default_factory=dict)
     strict: bool = True

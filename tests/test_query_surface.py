@@ -249,3 +249,14 @@ def test_own_rankings_and_windows_in_one_call(people):
 def test_deduplicate_by_with_a_map(spark):
     df = spark.createDataFrame([(1, {"a": 1}), (1, {"a": 0}), (2, {})], "k int, m map<string,int>")
     assert rows(of(df).deduplicate_by(lambda r: r.k, lambda r: r.k)) == [(1, {"a": 0}), (2, {})]
+
+
+def test_running_equals_stateful_map(spark):
+    df = spark.createDataFrame([(i % 3, i * 7 % 10, float(i)) for i in range(30)], "k int, t int, v double")
+    state = of(df).stateful_map(lambda: 0.0, lambda s, r: (s + r["v"], {"k": r["k"], "t": r["t"], "v": r["v"], "s": s + r["v"]}), "k int, t int, v double, s double", lambda r: (r.t, r.v), lambda r: r.k)
+    assert rows(of(df).running(lambda a: {"s": a.sum_by(lambda r: r.v)}, [lambda r: r.t, lambda r: r.v], lambda r: r.k)) == rows(state)
+
+
+def test_names_of_nested_fields(spark):
+    df = spark.createDataFrame([((1, 2.0),)], "r struct<a:int,b:double>")
+    assert [r.field for r in explore.describe(df, full_names=False).collect()] == ["a", "b"]

@@ -163,7 +163,7 @@ def test_excel_round_trip(spark, tmp_path):
     excel.write_file(wanted, path)
     assert sorted(excel.read(spark, Crate).file(path).collect(), key=str) == sorted(wanted.collect(), key=str)
     with open(path, "rb") as book:
-        assert excel.read(spark, Crate).bytes(book.read()).count() == excel.read(spark, Crate).url(f"file://{path}").count() == 2
+        assert excel.read(spark, Crate).option(sheet=lambda names: names[-1]).bytes(book.read()).count() == excel.read(spark, Crate).url(f"file://{path}").count() == 2
     with zipfile.ZipFile(path) as z:
         assert "xl/worksheets/sheet1.xml" in z.namelist()
 
