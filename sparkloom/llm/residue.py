@@ -316,7 +316,9 @@ def _trusted(tokens: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndar
         seeded[passage[at + (parts[0][EDGE] and 1 or 0) - 1]] = True
     word = (tokens >= _FIRST) | (tokens == RUN) | (tokens == STATUS)
     words = np.add.reduceat(word.astype(np.int64), starts)
-    distinct = np.bincount(np.unique(passage[word] * np.int64(WORDS) + tokens[word]) // WORDS, minlength=len(ends))
+    long = word & (words >= 8)[passage]
+    kinds = np.sort(passage[long] * np.int64(WORDS) + tokens[long])
+    distinct = np.bincount(kinds[np.r_[True, kinds[1:] != kinds[:-1]][: len(kinds)]] // WORDS, minlength=len(ends))
     monotone = (words >= 8) & (2 * distinct <= words)
     place = np.arange(len(tokens)) - starts[passage]
     same = np.add.reduceat((tokens.astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)), starts)
