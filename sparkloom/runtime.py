@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,10 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, kind: str, table: str | None = None) -> str:
     """A new path in the shared folder, deleted by ``drop_cuts`` together with the table that is kept there."""
-    if table:
-        _tables.append(table)
     path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    _written.append(path)
+    getattr(_within, "kept", _written).append((path, table))
     return path
 
 
@@ -59,15 +60,34 @@ def source_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < 1 << 60)
 
 
-_written: list[str] = []
-_tables: list[str] = []
+_written: list[tuple[str, str | None]] = []
+_within = threading.local()
 
 
 def drop_cuts(spark: SparkSession) -> None:
     """Delete what this process has written to the shared folder, once no DataFrame built on it is needed any more."""
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS `{_tables.pop()}`")
+    _drop(spark, _written)
+
+
+@contextmanager
+def passing_cuts(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what this thread has written to the shared folder meanwhile, as a micro-batch of an endless stream must."""
+    outer, _within.kept = getattr(_within, "kept", None), []
+    try:
+        yield
+    finally:
+        _drop(spark, _within.kept)
+        if outer is None:
+            del _within.kept
+        else:
+            _within.kept = outer
+
+
+def _drop(spark: SparkSession, kept: list[tuple[str, str | None]]) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
-    while _written:
-        path = hadoop(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+    while kept:
+        path, name = kept.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        at = hadoop(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001

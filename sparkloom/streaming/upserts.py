@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators.wide_cells import as_run, cells_of, compact, deltas, sorted_run
+from sparkloom.runtime import passing_cuts
 
 
 def write_deltas(stream: DataFrame, attributes: DataFrame, path: str, checkpoint: str, **trigger: Any):
@@ -24,7 +25,8 @@ def write_deltas(stream: DataFrame, attributes: DataFrame, path: str, checkpoint
 
     def batch(rows: DataFrame, number: int) -> None:
         at = F.lit(number).cast("bigint")
-        sorted_run(deltas(cells_of(rows, attributes, at))).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={number}")
+        with passing_cuts(rows.sparkSession):
+            sorted_run(deltas(cells_of(rows, attributes, at))).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -1,7 +1,9 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from sparkloom import runtime
 from sparkloom.operators.malformed_rows import parse_records, refused
 from sparkloom.operators.wide_cells import cells_of, compact, deltas
 from sparkloom.streaming import stateful, upserts
@@ -12,12 +14,13 @@ ROW = "row_id bigint, year int, industry_code_anzsic string, rme_size_grp string
 def test_upserts_equal_one_compaction(spark, tmp_path):
     attributes = spark.createDataFrame([("V1", "Staff cost", "decimal", "money", "KDOL"), ("V2", "Foreign owned", "boolean", None, None)], "attr_code string, attr_name string, value_type string, quantity string, common_unit string")
     rows = [(i, 2000 + i % 3, "A", "ALL", "Staff cost" if i % 2 else "Foreign owned", str(i % 5) if i % 2 else "yes", dt.datetime(2024, 3, 1) + dt.timedelta(hours=i * 7 % 60)) for i in range(60)]
-    source, runs = str(tmp_path / "in"), str(tmp_path / "runs")
+    source, runs, shared = str(tmp_path / "in"), str(tmp_path / "runs"), Path(runtime.shared_dir(spark).removeprefix("file://"))
     want = {tuple(r) for r in compact(deltas(cells_of(spark.createDataFrame(rows, ROW), attributes))).collect()}
     for k in range(3):
         spark.createDataFrame(rows[k * 20 : k * 20 + 20], ROW).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(ROW).parquet(source)
+        stream, before = spark.readStream.schema(ROW).parquet(source), sorted(shared.iterdir())
         upserts.write_deltas(stream, attributes, runs, str(tmp_path / "checkpoint")).awaitTermination()
+        assert sorted(shared.iterdir()) == before  # a micro-batch leaves nothing behind
         if k == 1:
             upserts.compact_runs(spark, runs)
     assert {tuple(r) for r in upserts.read_compacted(spark, runs).collect()} == want
@@ -73,3 +76,25 @@ def test_refused_records_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("line_id bigint, line_no int, raw_line string").parquet(source)
     refused(parse_records(stream)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["columns"]
+
+
+def test_cuts_are_deleted(spark):
+    shared = Path(runtime.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    kept = runtime.cut(spark.range(5))
+    with runtime.passing_cuts(spark):
+        assert runtime.cut(spark.range(3)).count() == 3
+    assert kept.count() == 5 and len(set(shared.iterdir()) - before) == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        runtime.shared_dir(Session())
