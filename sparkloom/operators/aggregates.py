@@ -26,19 +26,24 @@ Wrap = Callable[[Column], Column]
 
 
 class Aggregation:
-    """``build(row, wrap)`` gives the value; ``wrap`` places each aggregate in its window, if any."""
+    """``build(row, wrap)`` gives the value; ``wrap`` places each aggregate in its window, if any.
 
-    def __init__(self, build: Callable[[Row, Wrap], Any]):
-        self._build = build
+    ``parts`` are the sums, counts, least and greatest values it is made of, if it is: then it can be had from those of
+    finer groups, as ``finish`` of them.
+    """
+
+    def __init__(self, build: Callable[[Row, Wrap], Any], parts: tuple[tuple[str, Callable], ...] = (), finish: Callable = lambda *c: c[0]):
+        self._build, self.parts, self.finish = build, parts, finish
 
     def __call__(self, row: Row, wrap: Wrap = lambda c: c) -> Any:
         return self._build(row, wrap)
 
     def map(self, f: Callable) -> Aggregation:
-        return Aggregation(lambda row, wrap: f(*_flat(self(row, wrap))))
+        return Aggregation(lambda row, wrap: f(*_flat(self(row, wrap))), self.parts, lambda *c: f(*_flat(self.finish(*c))))
 
     def contramap(self, f: Callable[[Row], Row]) -> Aggregation:
-        return Aggregation(lambda row, wrap: self(_as_row(call(f, row)), wrap))
+        inner = tuple((kind, lambda row, part=part: part(_as_row(call(f, row)))) for kind, part in self.parts)
+        return Aggregation(lambda row, wrap: self(_as_row(call(f, row)), wrap), inner, self.finish)
 
     def __and__(self, other: Aggregation) -> Aggregation:
         return Aggregation(lambda row, wrap: (*_flat(self(row, wrap)), *_flat(other(row, wrap))))
@@ -80,7 +85,7 @@ class Builder:
         return Aggregation(lambda row, wrap: wrap(F.first(value if isinstance(value, Column) else F.lit(value))))
 
     def size(self) -> Aggregation:
-        return Aggregation(lambda row, wrap: wrap(F.count(F.lit(1))))
+        return Aggregation(lambda row, wrap: wrap(F.count(F.lit(1))), (("count", lambda row: F.lit(1)),))
 
     def count(self, p: Callable) -> Aggregation:
         return Aggregation(lambda row, wrap: wrap(F.count_if(F.coalesce(call(p, row), F.lit(False)))))
@@ -89,7 +94,7 @@ class Builder:
         return lambda f: Aggregation(lambda row, wrap: make_wrapped(make, _one(call(f, row)), wrap))
 
     def sum_by(self, f: Callable) -> Aggregation:
-        return self._by(F.sum)(f)
+        return Aggregation(self._by(F.sum)(f), (("sum", lambda row: _one(call(f, row))),))
 
     def sum(self) -> Aggregation:
         return self.sum_by(lambda r: r)
@@ -113,10 +118,12 @@ class Builder:
         return self.product_by(lambda r: r)
 
     def min_of(self, f: Callable) -> Aggregation:
-        return Aggregation(lambda row, wrap: wrap(F.min(F.struct(_one(call(f, row)).alias("v"))))["v"])
+        boxed = lambda row: F.struct(_one(call(f, row)).alias("v"))
+        return Aggregation(lambda row, wrap: wrap(F.min(boxed(row)))["v"], (("min", boxed),), lambda c: c["v"])
 
     def max_of(self, f: Callable) -> Aggregation:
-        return Aggregation(lambda row, wrap: wrap(F.max(F.struct(_one(call(f, row)).alias("v"))))["v"])
+        boxed = lambda row: F.struct(_one(call(f, row)).alias("v"))
+        return Aggregation(lambda row, wrap: wrap(F.max(boxed(row)))["v"], (("max", boxed),), lambda c: c["v"])
 
     def min(self) -> Aggregation:
         return self.min_of(lambda r: r)
@@ -209,28 +216,45 @@ def _materialised(value: Any) -> Any:
     return {"value": value} if isinstance(value, (Aggregation, Report)) else value
 
 
-def _grouped(df: DataFrame, key_columns: list[str], row: Row, out: dict[str, Any]) -> tuple[DataFrame, dict[str, Any]]:
-    """The grouped DataFrame and what each output name is in it."""
-    aggregates, result, reports = [], {}, {}
+#: How parts of aggregations are made from rows, and from those of finer groups.
+_FIRST = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+_AGAIN = {**_FIRST, "count": F.sum}
+
+
+def _grouped(df: DataFrame, key_columns: list[str], row: Row, out: dict[str, Any], carried: dict[str, str] | None = None, make: dict[str, Callable] = _AGAIN) -> tuple[DataFrame, dict[str, Any]]:
+    """The grouped DataFrame and what each output name is in it.
+
+    Columns in ``carried`` (their kind by name) are grouped along by ``make``. If all aggregates are made of parts, the first report carries
+    them, so that the rows are read and shuffled once for both.
+    """
+    aggregates, result, reports = [make[kind](F.col(n)).alias(n) for n, kind in (carried or {}).items()], {}, {}
+    reports = {name: v for name, v in out.items() if isinstance(v, Report)}
+    own = {name: v for name, v in out.items() if isinstance(v, Aggregation)}
+    by_parts = bool(reports) and not carried and all(v.parts for v in own.values())
+    parts: dict[str, tuple[str, Column]] = {}
     for name, v in out.items():
-        if isinstance(v, Report):
-            reports[name] = v
+        if name in reports:
             continue
-        got = v(row) if isinstance(v, Aggregation) else v
-        if not isinstance(v, Aggregation):
-            result[name] = got  # an expression of the keys
+        if name not in own:
+            result[name] = v  # an expression of the keys
             continue
         leaves = []
-        for c in _flat(got):
-            n = fresh()
-            aggregates.append(_one(c).alias(n))
-            leaves.append(F.col(n))
+        if by_parts:
+            names = [fresh() for _ in v.parts]
+            parts |= {n: (kind, part(row)) for n, (kind, part) in zip(names, v.parts, strict=True)}
+            leaves = [_one(c) for c in _flat(v.finish(*[F.col(n) for n in names]))]
+        else:
+            for c in _flat(v(row)):
+                n = fresh()
+                aggregates.append(_one(c).alias(n))
+                leaves.append(F.col(n))
         result[name] = leaves[0] if len(leaves) == 1 else tuple(leaves)
     grouped = None
     if aggregates or not reports:
         grouped = df.groupBy(*key_columns).agg(*aggregates) if aggregates else df.select(*key_columns).distinct()
     for name, r in reports.items():
-        listed, column = _reported(df, key_columns, row, r)
+        listed, column = _reported(df, key_columns, row, r, parts)
+        parts = {}
         if grouped is None:
             grouped = listed
         else:
@@ -245,25 +269,29 @@ def _grouped(df: DataFrame, key_columns: list[str], row: Row, out: dict[str, Any
     return grouped, {n: result[n] for n in out}
 
 
-def _reported(df: DataFrame, key_columns: list[str], row: Row, report: Report) -> tuple[DataFrame, str]:
-    """One report: grouped by its own keys below the outer ones, then listed per outer group, in order of its keys."""
-    own = project(df, {"sub": tuple(call(k, row) for k in report.keys), "row": row}, keep=tuple(key_columns))
+def _reported(df: DataFrame, key_columns: list[str], row: Row, report: Report, parts: dict[str, tuple[str, Column]]) -> tuple[DataFrame, str]:
+    """One report: grouped by its own keys below the outer ones, then listed per outer group, in order of its keys.
+
+    ``parts`` of the outer group's aggregates (kind and column by name) are made on the way.
+    """
+    kinds = {n: kind for n, (kind, _) in parts.items()}
+    own = project(df.withColumns({n: c for n, (_, c) in parts.items()}) if parts else df, {"sub": tuple(call(k, row) for k in report.keys), "row": row}, keep=(*key_columns, *kinds))
     sub, inner = Row(own.shape.fields["sub"]), Row(own.shape.fields["row"])
     subs = [list(columns_of_names(v)) for v in own.shape.fields["sub"].fields.values()]
     flat = [c for s in subs for c in s]
     out = named(_materialised(report.f(*sub, Builder())))
-    grouped, values = _grouped(own.df, [*key_columns, *flat], inner, out)
+    grouped, values = _grouped(own.df, [*key_columns, *flat], inner, out, kinds, _FIRST)
     if report.combiner is not None:
-        level = project(grouped, {"k": sub, "row": Given(values)}, keep=tuple(key_columns))
+        level = project(grouped, {"k": sub, "row": Given(values)}, keep=(*key_columns, *kinds))
         first = Row(level.shape.fields["k"])
         names = [n for n in columns_of_names(list(level.shape.fields["k"].fields.values())[0])]
         out = named(_materialised(report.combiner(list(first)[0], Builder())))
-        grouped, values = _grouped(level.df, [*key_columns, *names], Row(level.shape.fields["row"]), out)
+        grouped, values = _grouped(level.df, [*key_columns, *names], Row(level.shape.fields["row"]), out, kinds)
         flat = names
     target = fresh()
     record = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(flat)], F.struct(*[_one(v).alias(n) for n, v in values.items()]).alias("v"))
-    listed = grouped.select(*key_columns, record.alias(target)).groupBy(*key_columns).agg(F.transform(F.sort_array(F.collect_list(target)), lambda z: z["v"]).alias(target))
-    return listed, target
+    listed = grouped.select(*key_columns, *kinds, record.alias(target)).groupBy(*key_columns)
+    return listed.agg(F.transform(F.sort_array(F.collect_list(target)), lambda z: z["v"]).alias(target), *[_AGAIN[kind](n).alias(n) for n, kind in kinds.items()]), target
 
 
 def columns_of_names(f: Any) -> list[str]:

@@ -255,6 +255,34 @@ def csv_string_nested(spark: SparkSession, root: str) -> DataFrame:
     return _flat(csv.read(spark, Nation).string(out.getvalue()))
 
 
+@query(_NATIONS)
+def csv_by_http(spark: SparkSession, root: str) -> DataFrame:
+    """A file behind a URL, served by this process meanwhile."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from sparkloom.sources import csv
+
+    out = io.StringIO()
+    csv.write_file(_nations(spark, root), out)
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out.getvalue().encode())
+
+        def log_message(self, *_: object) -> None:
+            pass
+
+    with HTTPServer(("127.0.0.1", 0), Handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        try:
+            return _flat(csv.read(spark, Nation).url(f"http://127.0.0.1:{server.server_port}/nations.csv"))
+        finally:
+            server.shutdown()
+
+
 @query(_NATIONS)
 def csv_many_files(spark: SparkSession, root: str) -> DataFrame:
     """Files in the shared folder, found by a glob."""

@@ -260,3 +260,17 @@ def test_running_equals_stateful_map(spark):
 def test_names_of_nested_fields(spark):
     df = spark.createDataFrame([((1, 2.0),)], "r struct<a:int,b:double>")
     assert [r.field for r in explore.describe(df, full_names=False).collect()] == ["a", "b"]
+
+
+def test_report_carries_the_outer_aggregates(spark, people):
+    q = select("people").group_by(lambda p: p.team)
+
+    def both(team, a, more):
+        listed = a.report(lambda p: p.age, lambda age, b: {"age": age, "n": b.size()})
+        return {"team": team, "n": a.size(), "sum": a.sum_by(lambda p: p.age).map(lambda c: c * 2), "least": a.min_of(lambda p: p.age), "most": a.max_of(lambda p: p.name), "r": listed, **more}
+
+    once = q.aggregate(lambda team, a: both(team, a, {})).to_df(people)
+    joined = q.aggregate(lambda team, a: both(team, a, {"names": a.to_list_by(lambda p: p.name)})).to_df(people)
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted(map(tuple, joined.drop("names").collect()), key=repr)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (once, joined)]
+    assert "Join" not in plans[0] and "Join" in plans[1]
