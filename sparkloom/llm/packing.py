@@ -171,3 +171,18 @@ def slack(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     total = packed.agg(F.countDistinct("container").alias("containers"), F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     room = F.col("containers") * capacity
     return total.withColumn("unused_share", F.round(F.try_divide(room - F.col("tokens"), room), 6))
+
+
+def verified(packed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """Per key whether its pieces cover its text without gap or overlap (whole), all but the last of them full (split_only_if_longer),
+    and whether no container that holds one is overfull (fits)."""
+    held = cut(packed)
+    # container 0 holds the items without tokens besides; each other container holds capacity items at most
+    loads = held.groupBy("container").agg(F.sum("tokens").alias("_load"))
+    last = F.max("piece").over(Window.partitionBy(key))
+    start = F.col("token_start") == F.col("piece") * capacity
+    full = (F.col("piece") == last) | (F.col("tokens") == capacity)
+    judged = held.withColumns({"_start": start, "_full": full}).join(loads, "container")
+    return judged.groupBy(key).agg(
+        (F.every("_start") & (F.countDistinct("piece") == F.max("piece") + 1)).alias("whole"), F.every("_full").alias("split_only_if_longer"), (F.max("_load") <= capacity).alias("fits")
+    )

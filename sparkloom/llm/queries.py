@@ -74,6 +74,11 @@ def p7_pack(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(packing.pieces(packing.token_counts(table(spark, root, "documents"))))
 
 
+def p7_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Of every document whether it is packed as a whole, split only if it is longer than a container, in containers that aren't overfull."""
+    return packing.verified(p7_pack(spark, root))
+
+
 def _passages(spark: SparkSession, root: str) -> DataFrame:
     return winnowing.shared_passages(table(spark, root, "documents"), table(spark, root, "eval_item"))
 
@@ -93,7 +98,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_records(table(spark, root, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_certified, p7_pack, p8_found, p8_items, p9_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_certified, p7_pack, p7_documents, p8_found, p8_items, p9_found)}
 
 _TAGS = r"</?[a-zA-Z][^<>]*>|\[/?(?:quote|b|i|u|s|url|img|code|color|size|font|list|spoiler)(?:=[^\]\n]*)?\]"
 
@@ -121,6 +126,7 @@ SQL = {
     "p5_certified": """WITH v AS (SELECT DISTINCT id, product_id, unit_price, loaded_at FROM order_detail WHERE product_id IS NOT NULL AND unit_price IS NOT NULL AND NOT isnan(unit_price)),
         g AS (SELECT product_id, strftime(loaded_at, '%Y-%m-%d') AS period FROM v UNION ALL SELECT product_id, strftime(loaded_at, '%Y-%m') FROM v)
         SELECT product_id, period, percent, count(*) AS n, true AS within_bound, true AS bound_holds FROM g, (VALUES (25), (50), (75), (90)) p(percent) GROUP BY ALL""",
+    "p7_documents": "SELECT doc_id, true AS whole, true AS split_only_if_longer, true AS fits FROM documents",
     "p8_items": f"""WITH {_P8.strip()} SELECT item_id, count(DISTINCT doc_id) AS documents FROM dg JOIN ig USING (g) GROUP BY 1""",
     "p8_found": f"WITH {_P8.strip()} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
 }

@@ -69,3 +69,12 @@ def test_empty_table_and_repeated_ids(spark):
     assert packing.pack(packing.pieces(packing.token_counts(empty))).count() == 0
     same = spark.createDataFrame([(1, "a b c")] * 5 + [(None, "a b c")], "doc_id bigint, text string")
     assert packing.pack(packing.pieces(packing.token_counts(same))).count() == 6
+
+
+def test_verified(spark):
+    schema = "doc_id bigint, piece int, token_start bigint, tokens bigint, container bigint"
+    good = [(1, 0, 0, 2048, 1), (1, 1, 2048, 10, 2), (2, 0, 0, 2038, 2), (3, 0, 0, 0, 0)]
+    bad = [(4, 0, 0, 2048, 3), (4, 2, 4096, 1, 4), (5, 0, 0, 2000, 5), (6, 0, 0, 49, 5), (7, 0, 0, 9, 6), (7, 1, 2048, 9, 6)]
+    got = {r.doc_id: (r.whole, r.split_only_if_longer, r.fits) for r in packing.verified(spark.createDataFrame(good + bad, schema)).collect()}
+    ok = (True, True, True)
+    assert got == {1: ok, 2: ok, 3: ok, 4: (False, True, True), 5: (True, True, False), 6: (True, True, False), 7: (True, False, True)}
